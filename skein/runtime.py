@@ -1,0 +1,74 @@
+"""Session settings, table access and the shared folder for intermediate tables."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Largest number of rows of a side that this library broadcasts by itself.
+BROADCAST_ROWS = 200_000
+
+
+def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
+    """A local session with the settings that the tests and bench.py use."""
+    b = (
+        SparkSession.builder.master(f"local[{cpus}]")
+        .appName("skein")
+        .config("spark.sql.shuffle.partitions", str(conf.pop("partitions", 8)))
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.driver.memory", "8g")
+        .config("spark.driver.host", "127.0.0.1")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+    )
+    for k, v in conf.items():
+        b = b.config(k, v)
+    spark = b.getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where unset (tests, one machine), a fresh local one."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        d = "file://" + tempfile.mkdtemp(prefix="skein-")
+        spark.conf.set("spark.checkpoint.dir", d)
+    return d
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write df once as Parquet under the shared folder and read it back.
+
+    Cuts the lineage: later stages survive the loss of executors without
+    recomputing what lies before, and every reader sees the same rows.
+    """
+    spark = df.sparkSession
+    path = os.path.join(shared_dir(spark), "skein", uuid.uuid4().hex, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small_or_none(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether df, a written table, has at most `limit` rows and so may be broadcast."""
+    return df.limit(limit + 1).count() <= limit
+
+
+def join_checked(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with `side` broadcast only if its counted rows stay under BROADCAST_ROWS, else shuffled."""
+    return big.join(F.broadcast(side) if small_or_none(side) else side, on, how)
+
+
+def width(spark: SparkSession) -> int:
+    """Number of shuffle partitions of the session."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
