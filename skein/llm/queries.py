@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.sets import record_sets
-from skein.llm import cooccurrence
-from skein.runtime import table
+from skein.llm import cooccurrence, digests
+from skein.runtime import materialize, table
 
 #: Problem 6: least share of the queries and least lift of a pair.
 PAIR_SHARE, PAIR_LIFT = 0.02, 3.0
@@ -34,7 +34,41 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return p6_pairs(spark, d).select("cluster_id_a", "cluster_id_b", "n", "n_a", "n_b", "n_records", F.round("lift", 6).alias("lift"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts}
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    """(run_id, day, metric, value) of the measured durations and known batch numbers, repeated rows once.
+
+    -1, NaN and null durations weren't measured; null and 0 batch numbers are unknown.
+    """
+    m = table(spark, d, "search_metrics").select("run_id", "seq", "qid", "ts", "batch_seq", "duration").distinct()
+    dur = F.when(F.col("duration") >= 0, F.col("duration"))
+    both = F.array(F.struct(F.lit("duration").alias("metric"), dur.alias("value")), F.struct(F.lit("batch_seq").alias("metric"), F.when(F.col("batch_seq") > 0, F.col("batch_seq")).cast("double").alias("value")))
+    long = m.select("run_id", F.to_date("ts").alias("day"), F.explode(both).alias("x")).select("run_id", "day", "x.*")
+    return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
+def _percentiles(spark: SparkSession, d: str, key: str, by: list[str] | None = None) -> DataFrame:
+    values = _metrics(spark, d)
+    keys = [key, "metric"]
+    dig = digests.digests(values, by or keys, "value")
+    ans = materialize(digests.answers(digests.merge(dig, keys) if by else dig, keys), "answers")
+    return digests.certify(values, ans, keys, "value")
+
+
+def p3_run_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of duration and batch_seq of every run, with measured rank errors."""
+    return _percentiles(spark, d, "run_id")
+
+
+def p3_day_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return _percentiles(spark, d, "day")
+
+
+def p3_run_from_days(spark: SparkSession, d: str) -> DataFrame:
+    """As p3_run_percentiles, from digests of each day of each run, merged."""
+    return _percentiles(spark, d, "run_id", ["run_id", "day", "metric"])
+
+
+QUERIES = {"p3_run_percentiles": p3_run_percentiles, "p3_day_percentiles": p3_day_percentiles, "p3_run_from_days": p3_run_from_days, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts}
 
 _PAIRS = f"""
 WITH e AS ({IDS}), t AS (SELECT count(DISTINCT qid) AS n_records FROM e), f AS (SELECT c, count(*) AS n FROM e GROUP BY c),
