@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.sets import record_sets
-from skein.llm import cooccurrence, digests
+from skein.llm import cooccurrence, digests, tokens
 from skein.runtime import materialize, table
 
 #: Problem 6: least share of the queries and least lift of a pair.
@@ -68,7 +68,16 @@ def p3_run_from_days(spark: SparkSession, d: str) -> DataFrame:
     return _percentiles(spark, d, "run_id", ["run_id", "day", "metric"])
 
 
-QUERIES = {"p3_run_percentiles": p3_run_percentiles, "p3_day_percentiles": p3_day_percentiles, "p3_run_from_days": p3_run_from_days, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, d, "documents"))
+
+
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts back from their ids; null texts come back empty."""
+    return tokens.decode_corpus(p7_ids(spark, d))
+
+
+QUERIES = {"p3_run_percentiles": p3_run_percentiles, "p3_day_percentiles": p3_day_percentiles, "p3_run_from_days": p3_run_from_days, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts, "p7_ids": p7_ids, "p7_decoded": p7_decoded}
 
 _PAIRS = f"""
 WITH e AS ({IDS}), t AS (SELECT count(DISTINCT qid) AS n_records FROM e), f AS (SELECT c, count(*) AS n FROM e GROUP BY c),
@@ -81,4 +90,5 @@ WHERE p.n >= {PAIR_SHARE} * n_records AND p.n * n_records >= {PAIR_LIFT} * fa.n
     "p6_counts": f"""{_PAIRS}
 SELECT CAST(x AS BIGINT) AS cluster_id_a, CAST(y AS BIGINT) AS cluster_id_b, p.n AS n, fa.n AS n_a, fb.n AS n_b, n_records,
   round(p.n * n_records / CAST(fa.n * fb.n AS DOUBLE), 6) AS lift FROM p JOIN f fa ON fa.c = x JOIN f fb ON fb.c = y, t""",
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
