@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.sets import record_sets
-from skein.llm import cooccurrence, digests, tokens
+from skein.llm import cooccurrence, digests, spampages, tokens
 from skein.runtime import materialize, table
 
 #: Problem 6: least share of the queries and least lift of a pair.
@@ -77,7 +77,24 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode_corpus(p7_ids(spark, d))
 
 
-QUERIES = {"p3_run_percentiles": p3_run_percentiles, "p3_day_percentiles": p3_day_percentiles, "p3_run_from_days": p3_run_from_days, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts, "p7_ids": p7_ids, "p7_decoded": p7_decoded}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spampages.spam_pages(table(spark, d, "documents")).select("doc_id")
+
+
+def p9_measures(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of every document by which p9_found decides."""
+    return spampages.measures(table(spark, d, "documents"))
+
+
+def p9_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Hand labels against p9_found: (label, annotator, n, agree)."""
+    said = table(spark, d, "review_labels").where("doc_id IS NOT NULL").select("doc_id", "label", "annotator")
+    found = spampages.measures(table(spark, d, "documents")).select("doc_id", (F.col("flagged_share") > 0.5).alias("spam"))
+    same = ((F.col("label") == "not_sentences") == F.col("spam")).cast("long")
+    return said.join(found, "doc_id").groupBy("label", "annotator").agg(F.count("*").alias("n"), F.sum(same).alias("agree"))
+
+
+QUERIES = {"p3_run_percentiles": p3_run_percentiles, "p3_day_percentiles": p3_day_percentiles, "p3_run_from_days": p3_run_from_days, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p9_found": p9_found, "p9_measures": p9_measures, "p9_agreement": p9_agreement}
 
 _PAIRS = f"""
 WITH e AS ({IDS}), t AS (SELECT count(DISTINCT qid) AS n_records FROM e), f AS (SELECT c, count(*) AS n FROM e GROUP BY c),
