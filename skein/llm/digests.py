@@ -28,6 +28,8 @@ from skein.runtime import small_or_none, width
 #: Compression: a digest keeps at most about this many centroids.
 DELTA = 400
 QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+#: Splits whose digests of one group are merged at once.
+FAN_IN = 64
 DIGEST = "n bigint, means array<double>, weights array<double>, lows array<double>, highs array<double>"
 _PARTS = ("means", "weights", "lows", "highs")
 
@@ -76,7 +78,7 @@ def digests(values: DataFrame, keys: Sequence[str], value: str, delta: int = DEL
     keys = list(keys)
     types = dict(values.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "lane int", DIGEST])
-    lanes = max(1, round(width(values.sparkSession) ** 0.5))
+    lanes = -(-width(values.sparkSession) // FAN_IN)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -97,7 +99,8 @@ def digests(values: DataFrame, keys: Sequence[str], value: str, delta: int = DEL
             yield pd.DataFrame({**{k: [o[i] for o in out] for i, k in enumerate(keys)}, "lane": [o[-2] for o in out], "n": [int(o[-1][1].sum()) for o in out], **{p: [o[-1][j] for o in out] for j, p in enumerate(_PARTS)}})
 
     clean = values.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-    return merge(clean.mapInPandas(split, schema), keys, delta)
+    parts = clean.mapInPandas(split, schema)
+    return merge(parts if lanes > 1 else parts.drop("lane"), keys, delta)
 
 
 def merge(parts: DataFrame, keys: Sequence[str], delta: int = DELTA) -> DataFrame:

@@ -46,26 +46,27 @@ def _metrics(spark: SparkSession, d: str) -> DataFrame:
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def _percentiles(spark: SparkSession, d: str, key: str, by: list[str] | None = None) -> DataFrame:
-    values = _metrics(spark, d)
-    keys = [key, "metric"]
-    dig = digests.digests(values, by or keys, "value")
-    ans = materialize(digests.answers(digests.merge(dig, keys) if by else dig, keys), "answers")
-    return digests.certify(values, ans, keys, "value")
-
-
-def p3_run_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of duration and batch_seq of every run, with measured rank errors."""
-    return _percentiles(spark, d, "run_id")
-
-
-def p3_day_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return _percentiles(spark, d, "day")
-
-
-def p3_run_from_days(spark: SparkSession, d: str) -> DataFrame:
-    """As p3_run_percentiles, from digests of each day of each run, merged."""
-    return _percentiles(spark, d, "run_id", ["run_id", "day", "metric"])
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of duration and batch_seq of every run on every day (scope run_day), of every run over its
+    days and of every day over its runs (scopes run and day, merged from the digests of run_day), with measured
+    rank errors. A null run_id or day is a group of its own; the column not in the scope is null."""
+    values = materialize(_metrics(spark, d), "values")
+    fine = materialize(digests.digests(values, ["run_id", "day", "metric"], "value"), "digests")
+    parts = []
+    for scope, keys in (("run_day", ["run_id", "day", "metric"]), ("run", ["run_id", "metric"]), ("day", ["day", "metric"])):
+        dig = fine if scope == "run_day" else digests.merge(fine, keys)
+        ans = materialize(digests.answers(dig, keys), f"answers_{scope}")
+        got = digests.certify(values, ans, keys, "value")
+        for c, t in (("run_id", "string"), ("day", "date")):
+            if c not in keys:
+                got = got.withColumn(c, F.lit(None).cast(t))
+        parts.append(got.select(F.lit(scope).alias("scope"), "run_id", "day", "metric", "n", "q", "value", "rank_low", "rank_high", "rank_error"))
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+def p3_medians(spark: SparkSession, d: str) -> DataFrame:
+    """The medians alone, of the two coarse scopes."""
+    return p3_percentiles(spark, d).where("q = 0.5 AND scope <> 'run_day'")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +95,7 @@ def p9_agreement(spark: SparkSession, d: str) -> DataFrame:
     return said.join(found, "doc_id").groupBy("label", "annotator").agg(F.count("*").alias("n"), F.sum(same).alias("agree"))
 
 
-QUERIES = {"p3_run_percentiles": p3_run_percentiles, "p3_day_percentiles": p3_day_percentiles, "p3_run_from_days": p3_run_from_days, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p9_found": p9_found, "p9_measures": p9_measures, "p9_agreement": p9_agreement}
+QUERIES = {"p3_percentiles": p3_percentiles, "p3_medians": p3_medians, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p9_found": p9_found, "p9_measures": p9_measures, "p9_agreement": p9_agreement}
 
 _PAIRS = f"""
 WITH e AS ({IDS}), t AS (SELECT count(DISTINCT qid) AS n_records FROM e), f AS (SELECT c, count(*) AS n FROM e GROUP BY c),
