@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.sets import record_sets
-from skein.llm import cooccurrence, digests, spampages, tokens
+from skein.llm import cooccurrence, digests, packing, spampages, tokens, vectors
 from skein.runtime import materialize, table
 
+#: Vectors: elements, neighbours a vector and least cosine of a neighbour.
+DIM, K, NEAR = 64, 10, 0.85
 #: Problem 6: least share of the queries and least lift of a pair.
 PAIR_SHARE, PAIR_LIFT = 0.02, 3.0
 
@@ -69,6 +71,23 @@ def p3_medians(spark: SparkSession, d: str) -> DataFrame:
     return p3_percentiles(spark, d).where("q = 0.5 AND scope <> 'run_day'")
 
 
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ranked neighbours of every usable vector, from cosine NEAR on."""
+    return vectors.nearest(table(spark, d, "cluster_cache"), "vec_id", "embeddings", DIM, K, NEAR).withColumnsRenamed({"id": "vec_id", "other": "neighbour"})
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    near = vectors.nearest(table(spark, d, "cluster_cache"), "vec_id", "embeddings", DIM, K, NEAR)
+    return near.select(F.least("id", "other").alias("vec_id_a"), F.greatest("id", "other").alias("vec_id_b")).distinct()
+
+
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall against brute force of the vectors whose id is divisible by 100, against all rows."""
+    cache = table(spark, d, "cluster_cache")
+    near = materialize(vectors.nearest(cache, "vec_id", "embeddings", DIM, K, NEAR), "near")
+    return vectors.recall(cache, near, "vec_id", "embeddings", DIM, K, NEAR)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -78,6 +97,15 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode_corpus(p7_ids(spark, d))
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.sized(table(spark, d, "documents")))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Number of containers and their used share."""
+    return packing.fill(p8_packed(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spampages.spam_pages(table(spark, d, "documents")).select("doc_id")
 
@@ -95,7 +123,7 @@ def p9_agreement(spark: SparkSession, d: str) -> DataFrame:
     return said.join(found, "doc_id").groupBy("label", "annotator").agg(F.count("*").alias("n"), F.sum(same).alias("agree"))
 
 
-QUERIES = {"p3_percentiles": p3_percentiles, "p3_medians": p3_medians, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p9_found": p9_found, "p9_measures": p9_measures, "p9_agreement": p9_agreement}
+QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_recall": p5_recall, "p3_percentiles": p3_percentiles, "p3_medians": p3_medians, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_measures": p9_measures, "p9_agreement": p9_agreement}
 
 _PAIRS = f"""
 WITH e AS ({IDS}), t AS (SELECT count(DISTINCT qid) AS n_records FROM e), f AS (SELECT c, count(*) AS n FROM e GROUP BY c),
