@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.sets import record_sets
-from skein.llm import cooccurrence, digests, packing, spampages, tokens, vectors
+from skein.llm import clusters, cooccurrence, digests, packing, spampages, tokens, vectors
 from skein.runtime import materialize, table
 
 #: Vectors: elements, neighbours a vector and least cosine of a neighbour.
 DIM, K, NEAR = 64, 10, 0.85
+#: Problem 1: least cosine of two similar vectors.
+SAME = 0.92
 #: Problem 6: least share of the queries and least lift of a pair.
 PAIR_SHARE, PAIR_LIFT = 0.02, 3.0
 
@@ -71,6 +73,24 @@ def p3_medians(spark: SparkSession, d: str) -> DataFrame:
     return p3_percentiles(spark, d).where("q = 0.5 AND scope <> 'run_day'")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    g = clusters.vector_groups(table(spark, d, "cluster_cache"), "vec_id", "embeddings", DIM, SAME)
+    return g.select(F.col("id").alias("vec_id"), F.col("group_id").alias("group_vec_id"))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Size, most typical vectors and cohesion of every group."""
+    cache = table(spark, d, "cluster_cache")
+    groups = materialize(clusters.vector_groups(cache, "vec_id", "embeddings", DIM, SAME), "groups")
+    return clusters.describe(cache, groups, "vec_id", "embeddings", DIM).withColumnRenamed("group_id", "group_vec_id")
+
+
+def p1_average(spark: SparkSession, d: str) -> DataFrame:
+    """Groups by the stricter average, missing links counted as 0."""
+    g = clusters.vector_groups(table(spark, d, "cluster_cache"), "vec_id", "embeddings", DIM, SAME, "all")
+    return g.select(F.col("id").alias("vec_id"), F.col("group_id").alias("group_vec_id"))
+
+
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ranked neighbours of every usable vector, from cosine NEAR on."""
     return vectors.nearest(table(spark, d, "cluster_cache"), "vec_id", "embeddings", DIM, K, NEAR).withColumnsRenamed({"id": "vec_id", "other": "neighbour"})
@@ -123,7 +143,7 @@ def p9_agreement(spark: SparkSession, d: str) -> DataFrame:
     return said.join(found, "doc_id").groupBy("label", "annotator").agg(F.count("*").alias("n"), F.sum(same).alias("agree"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_recall": p5_recall, "p3_percentiles": p3_percentiles, "p3_medians": p3_medians, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_measures": p9_measures, "p9_agreement": p9_agreement}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p1_average": p1_average, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_recall": p5_recall, "p3_percentiles": p3_percentiles, "p3_medians": p3_medians, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_measures": p9_measures, "p9_agreement": p9_agreement}
 
 _PAIRS = f"""
 WITH e AS ({IDS}), t AS (SELECT count(DISTINCT qid) AS n_records FROM e), f AS (SELECT c, count(*) AS n FROM e GROUP BY c),
