@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.sets import record_sets
-from skein.llm import clusters, cooccurrence, digests, packing, spampages, tokens, vectors
+from skein.llm import clusters, cooccurrence, digests, packing, setjoin, spampages, tokens, vectors
 from skein.runtime import materialize, table
 
 #: Vectors: elements, neighbours a vector and least cosine of a neighbour.
 DIM, K, NEAR = 64, 10, 0.85
 #: Problem 1: least cosine of two similar vectors.
 SAME = 0.92
+#: Problem 4: least Jaccard similarity, and ids of a query that takes part.
+OVERLAP, LEAST_IDS = 0.7, 5
 #: Problem 6: least share of the queries and least lift of a pair.
 PAIR_SHARE, PAIR_LIFT = 0.02, 3.0
 
@@ -91,6 +93,16 @@ def p1_average(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.col("id").alias("vec_id"), F.col("group_id").alias("group_vec_id"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = setjoin.similar_records(table(spark, d, "all_results"), "qid", "cluster_ids_set", OVERLAP, LEAST_IDS)
+    return pairs.select(F.col("a").alias("qid_a"), F.col("b").alias("qid_b"))
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Class of equal sets, its size and its number of similar classes, for every query with at least five ids."""
+    return setjoin.linked_classes(table(spark, d, "all_results"), "qid", "cluster_ids_set", OVERLAP, LEAST_IDS).withColumnRenamed("id", "qid")
+
+
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ranked neighbours of every usable vector, from cosine NEAR on."""
     return vectors.nearest(table(spark, d, "cluster_cache"), "vec_id", "embeddings", DIM, K, NEAR).withColumnsRenamed({"id": "vec_id", "other": "neighbour"})
@@ -143,7 +155,7 @@ def p9_agreement(spark: SparkSession, d: str) -> DataFrame:
     return said.join(found, "doc_id").groupBy("label", "annotator").agg(F.count("*").alias("n"), F.sum(same).alias("agree"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p1_average": p1_average, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_recall": p5_recall, "p3_percentiles": p3_percentiles, "p3_medians": p3_medians, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_measures": p9_measures, "p9_agreement": p9_agreement}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p1_average": p1_average, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_recall": p5_recall, "p3_percentiles": p3_percentiles, "p3_medians": p3_medians, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_measures": p9_measures, "p9_agreement": p9_agreement}
 
 _PAIRS = f"""
 WITH e AS ({IDS}), t AS (SELECT count(DISTINCT qid) AS n_records FROM e), f AS (SELECT c, count(*) AS n FROM e GROUP BY c),
@@ -157,4 +169,8 @@ WHERE p.n >= {PAIR_SHARE} * n_records AND p.n * n_records >= {PAIR_LIFT} * fa.n
 SELECT CAST(x AS BIGINT) AS cluster_id_a, CAST(y AS BIGINT) AS cluster_id_b, p.n AS n, fa.n AS n_a, fb.n AS n_b, n_records,
   round(p.n * n_records / CAST(fa.n * fb.n AS DOUBLE), 6) AS lift FROM p JOIN f fa ON fa.c = x JOIN f fb ON fb.c = y, t""",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p4_found": f"""
+WITH e AS ({IDS}), s AS (SELECT qid, count(*) AS k FROM e GROUP BY qid HAVING count(*) >= {LEAST_IDS}), f AS (SELECT e.* FROM e JOIN s USING (qid)),
+o AS (SELECT a.qid AS x, b.qid AS y, count(*) AS o FROM f a JOIN f b ON a.c = b.c AND a.qid < b.qid GROUP BY 1, 2)
+SELECT x AS qid_a, y AS qid_b FROM o JOIN s sa ON sa.qid = x JOIN s sb ON sb.qid = y WHERE 10 * o >= 7 * (sa.k + sb.k - o)""",
 }
