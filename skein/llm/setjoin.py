@@ -28,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.sets import clean_ids
 from skein.runtime import BROADCAST_ROWS, materialize, small_or_none, width
 
 #: Distinct items up to which they are ranked by frequency (12 bytes each, broadcast); beyond, by a bijective hash.
@@ -38,7 +37,7 @@ GAPS = 20_000
 #: Records of an item's short list beyond which the list is cut into groups.
 LIST = 1_000_000
 #: Candidates compared at once.
-STEP = 2_000_000
+STEP = 250_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -86,6 +85,10 @@ class Bounds:
         """Overlap of two records of sizes adding up to `both`."""
         return -(-self.num * both // (self.num + self.den))
 
+    def difference(self, both):
+        """Largest symmetric difference of two records of sizes adding up to at most `both`."""
+        return both * (self.den - self.num) // (self.num + self.den)
+
 
 def merge_lists(ids: np.ndarray, lens: np.ndarray, flat: np.ndarray, mine, bounds: Bounds, depth: int, probe: np.ndarray | None = None, index: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs (id, id, size, size, overlap) whose first common item is `mine` (a function of ranks -> mask).
@@ -96,24 +99,22 @@ def merge_lists(ids: np.ndarray, lens: np.ndarray, flat: np.ndarray, mine, bound
     order = np.lexsort((ids, lens))  # records by size: a lookup's partners are shorter, or equal with a smaller place
     starts = (np.cumsum(lens) - lens)[order]
     lens, ids = lens[order], ids[order]
-    at = np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
-    flat = flat[at]
+    flat = flat[np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))]
     probe = np.ones(len(ids), bool) if probe is None else probe[order]
     index = np.ones(len(ids), bool) if index is None else index[order]
     first = np.cumsum(lens) - lens
     n = len(ids)
-    dic, tok = np.unique(flat, return_inverse=True)  # keeps the order of ranks
+    dic = np.unique(flat)
+    tok = np.searchsorted(dic, flat).astype(np.int32)  # keeps the order of ranks
+    del flat
     d = len(dic)
     own = mine(dic)
-    # parity sketch: bit b is the parity of the number of items hashed to b
-    bit = (_mix(dic) >> np.uint64(7)).astype(np.int64) % 128
-    word, mask = bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64)
-    owner = np.repeat(np.arange(n), lens)
-    sketch = []
-    for w in (0, 1):
-        contrib = np.where(word[tok] == w, mask[tok], np.uint64(0))
-        sketch.append(np.bitwise_xor.reduceat(contrib, first))
-    lists = np.sort(tok.astype(np.int64) * n + owner)  # the inverted lists, one after another: for binary search
+    # two parity sketches: bit b is the parity of the number of items hashed to b
+    sketch = [np.bitwise_xor.reduceat((np.uint64(1) << (_mix(dic) >> np.uint64(shift) & np.uint64(63)))[tok], first) for shift in (7, 29)]
+    small = np.int32 if d * n < 1 << 31 else np.int64
+    lists = np.repeat(np.arange(n, dtype=small), lens)
+    lists += tok.astype(small) * small(n)
+    lists.sort()  # the inverted lists, one after another: for binary search
 
     def entries(of: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys (item or pair of items), record and place of the last item; `most` first items of a record start a key."""
@@ -141,67 +142,114 @@ def merge_lists(ids: np.ndarray, lens: np.ndarray, flat: np.ndarray, mine, bound
     pk, pr, pp = entries(probe, lens - bounds.least(lens) + 1)
     if not len(ik) or not len(pk):
         return
-    order = np.lexsort((ir, ik))  # records are in order of size
-    ik, ir, ip = ik[order], ir[order], ip[order]
-    uk, ustart = np.unique(ik, return_index=True)
-    uend = np.append(ustart[1:], len(ik))
-    k = np.searchsorted(uk, pk)
-    hit = (k < len(uk)) & (uk[np.minimum(k, len(uk) - 1)] == pk)
-    pk, pr, pp, k = pk[hit], pr[hit], pp[hit], k[hit]
-    code = np.repeat(np.arange(len(uk)), uend - ustart) * n + ir  # ascending
+    if d**depth < (1 << 62) // n:
+        code = ik * n + ir  # records are in order of size
+        order = np.argsort(code)
+        code, ir, ip = code[order], ir[order].astype(np.int32), ip[order].astype(np.int32)
+        want = pk * n + pr
+        order = np.argsort(want)  # lookups in the order of the lists
+        pk, pr, pp, want = pk[order], pr[order], pp[order], want[order]
+    else:
+        order = np.lexsort((ir, ik))
+        ik, ir, ip = ik[order], ir[order].astype(np.int32), ip[order].astype(np.int32)
+        uk, at = np.unique(ik, return_inverse=True)
+        code = at * n + ir
+        k = np.searchsorted(uk, pk)
+        hit = np.flatnonzero((k < len(uk)) & (uk[np.minimum(k, len(uk) - 1)] == pk))
+        pk, pr, pp, want = pk[hit], pr[hit], pp[hit], k[hit] * n + pr[hit]
     floor = np.searchsorted(lens, bounds.least(lens))  # first record that is long enough, for each record
-    lo = np.searchsorted(code, k * n + floor[pr])
-    hi = np.searchsorted(code, k * n + pr)  # partners come before the record itself
+    lo = np.searchsorted(code, want - pr + floor[pr])
+    hi = np.searchsorted(code, want)  # partners come before the record itself
+    del code, want
     some = hi > lo
-    pr, pp, lo, hi, pk = pr[some], pp[some], lo[some], hi[some], pk[some]
+    some = np.flatnonzero(some)
+    some = some[np.argsort(pr[some], kind="stable")]  # all lookups of a record together
+    pr, pp, lo, hi, head = pr[some], pp[some], lo[some], hi[some], (pk[some] // d if depth == 2 else pk[some])
     count = hi - lo
     ends = np.cumsum(count)
-    head = pk // d if depth == 2 else pk
+    near = [x[ir] for x in sketch]
+    own_sketch = [x[pr] for x in sketch]
+    most = np.minimum(bounds.difference(2 * lens[pr]), 255).astype(np.uint8)  # no partner of at most its size differs by more
     begin = 0
     while begin < len(pr):
         stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + STEP)))
         c = count[begin:stop]
-        y = np.repeat(pr[begin:stop], c)
-        e = np.repeat(lo[begin:stop] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
-        x = ir[e]
-        diff = np.bitwise_count(sketch[0][y] ^ sketch[0][x]).astype(np.int64) + np.bitwise_count(sketch[1][y] ^ sketch[1][x])
-        both = lens[x] + lens[y]
-        need = bounds.overlap(both)
-        ok = diff <= both - 2 * need
-        h = np.repeat(head[begin:stop], c)[ok]
-        q = np.repeat(pp[begin:stop], c)[ok]
-        x, y, need, e = x[ok], y[ok], need[ok], e[ok]
-        far = depth + np.minimum(lens[y] - q, lens[x] - ip[e]) - 1 >= need  # what can follow the last shared item
-        x, y, need, h = x[far], y[far], need[far], h[far]
+        e = np.repeat((lo[begin:stop] - (np.cumsum(c) - c)).astype(np.int32), c)
+        e += np.arange(len(e), dtype=np.int32)
+        diff = np.bitwise_count(np.repeat(own_sketch[0][begin:stop], c) ^ near[0][e])
+        ok = np.flatnonzero(diff <= np.repeat(most[begin:stop], c))
+        if len(ok):
+            at = begin + np.searchsorted(np.cumsum(c), ok, side="right")
+            e = e[ok]
+            x, y, h, q = ir[e].astype(np.int64), pr[at], head[at], pp[at]
+            diff = np.maximum(diff[ok], np.bitwise_count(own_sketch[1][at] ^ near[1][e]))
+            both = lens[x] + lens[y]
+            need = bounds.overlap(both)
+            good = (diff <= both - 2 * need) & (depth + np.minimum(lens[y] - q, lens[x] - ip[e]) - 1 >= need)  # and what can follow the last shared item
+            x, y, need, h = x[good], y[good], need[good], h[good]
+        else:
+            x = ok
         if len(x):
-            u, one = np.unique(y * n + x, return_index=True)
+            u, one, back = np.unique(y * n + x, return_index=True, return_inverse=True)
             # the same pair comes under several items; the least is the first common one if this partition holds that
             least = np.full(len(u), d)
-            np.minimum.at(least, np.searchsorted(u, y * n + x), h)
+            np.minimum.at(least, back, h)
             x, y, need = x[one], y[one], need[one]
-            for s in range(0, len(x), 100_000):
-                xs, ys = x[s : s + 100_000], y[s : s + 100_000]
-                l = lens[xs]
-                pair = np.repeat(np.arange(len(xs)), l)
-                t = tok[np.repeat(first[xs] - (np.cumsum(l) - l), l) + np.arange(int(l.sum()))]
-                want = t.astype(np.int64) * n + ys[pair]
-                place = np.searchsorted(lists, want)
-                common = lists[np.minimum(place, len(lists) - 1)] == want
-                o = np.bincount(pair[common], minlength=len(xs))
-                lead = np.full(len(xs), d)
-                np.minimum.at(lead, pair[common], t[common])
-                good = (o >= need[s : s + 100_000]) & own[np.minimum(lead, d - 1)] & (lead == least[s : s + 100_000])
-                yield ids[xs[good]], ids[ys[good]], lens[xs[good]], lens[ys[good]], o[good]
+            l = lens[x]
+            pair = np.repeat(np.arange(len(x)), l)
+            t = tok[np.repeat(first[x] - (np.cumsum(l) - l), l) + np.arange(int(l.sum()))]
+            want = t.astype(small) * small(n) + y[pair].astype(small)
+            place = np.searchsorted(lists, want)
+            common = lists[np.minimum(place, len(lists) - 1)] == want
+            o = np.bincount(pair[common], minlength=len(x))
+            lead = np.full(len(x), d)
+            np.minimum.at(lead, pair[common], t[common])
+            good = (o >= need) & own[np.minimum(lead, d - 1)] & (lead == least)
+            if good.any():
+                yield ids[x[good]], ids[y[good]], lens[x[good]], lens[y[good]], o[good]
         begin = stop
 
 
+def clean(ids: pa.Array, lists: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, sizes, items) of the records with an id and at least `least` distinct non-null items of at least 0, items ascending."""
+    n = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+    flat = lists.flatten()
+    v = np.asarray(flat.fill_null(-1) if flat.null_count else flat).astype(np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    ok = (v >= 0) & np.asarray(ids.is_valid())[row]
+    row, v = row[ok], v[ok]
+    span = int(v.max(initial=0)) + 1
+    if span < (1 << 62) // max(1, len(n)):
+        code = np.sort(row * span + v)
+        code = code[np.concatenate([[True], code[1:] != code[:-1]])] if len(code) else code
+        row, v = code // span, code % span
+    else:
+        order = np.lexsort((v, row))
+        row, v = row[order], v[order]
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (v[1:] != v[:-1])]) if len(v) else np.zeros(0, bool)
+        row, v = row[new], v[new]
+    size = np.bincount(row, minlength=len(n))
+    keep = size >= max(1, least)
+    return np.asarray(ids.fill_null(0))[keep], size[keep], v[keep[row]]
+
+
+def fingerprint(sizes: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set (sums of mixed items, mixed again)."""
+    first = np.cumsum(sizes) - sizes
+    out = []
+    for salt in (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)):
+        s = np.add.reduceat(_mix(items.astype(np.uint64) ^ salt), first) if len(first) else np.zeros(0, np.uint64)
+        out.append(_mix(s + sizes.astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
+
+
 class Records:
     """Set-valued records, their classes of equal sets and the frequencies of the items."""
 
     def __init__(self, df: DataFrame, id_col: str, set_col: str, least: int = 1) -> None:
         self.spark = df.sparkSession
-        cleaned = df.select(F.col(id_col).cast("bigint").alias("id"), clean_ids(set_col).alias("ids"))
-        self.sets = cleaned.where(F.col("id").isNotNull() & (F.size("ids") >= max(1, least)))
+        self.size = least
+        self.raw = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(set_col).alias("ids"))
         survey = materialize(self._survey(), "survey")
         self.copies = survey.where("kind = 0").select("h1", "h2", F.col("low").alias("rep"))
         self.has_copies = self.copies.limit(1).count() > 0
@@ -209,62 +257,64 @@ class Records:
         total = survey.where("kind = 2").agg(F.sum("n").alias("n"), F.min("low").alias("least")).first()
         self.entries, self.least = total["n"] or 0, total["least"] or 1
 
-    def _prints(self) -> DataFrame:
-        return self.sets.select(F.xxhash64("ids").alias("h1"), F.xxhash64(F.lit(1), F.col("ids")).alias("h2"), "id", "ids")
+    def prints(self) -> DataFrame:
+        """Rows (h1, h2, id): the fingerprint of every record's set."""
+        least = self.size
+
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, sizes, items = clean(b.column(0), b.column(1), least)
+                h1, h2 = fingerprint(sizes, items)
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(ids)], names=["h1", "h2", "id"])
+
+        return self.raw.mapInArrow(f, "h1 bigint, h2 bigint, id bigint")
 
     def _survey(self) -> DataFrame:
         """Classes of several ids (kind 0), records of each item (kind 1), entries and least size (kind 2)."""
+        least_size = self.size
 
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = ["kind", "h1", "h2", "low", "high", "n"]
-            held, size, entries, least = {}, 0, 0, np.iinfo(np.int64).max
+            def rows(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int8)), *(pa.array(c.astype(np.int64)) for c in cols)], names=["kind", "h1", "h2", "low", "high", "n"])
+
+            entries, least, size = 0, np.iinfo(np.int64).max, 0
             keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
             flats: list[np.ndarray] = []
-
-            def add(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                u, c = np.unique(np.concatenate(flats), return_counts=True)
-                k, at = np.unique(np.concatenate([keys, u]), return_inverse=True)
-                return k, np.bincount(at, np.concatenate([counts, c]), len(k)).astype(np.int64)
-
             for b in batches:
-                if not b.num_rows:
+                ids, sizes, items = clean(b.column(0), b.column(1), least_size)
+                if not len(ids):
                     continue
-                z = np.zeros(b.num_rows, np.int8)
-                yield pa.RecordBatch.from_arrays([pa.array(z), b.column(0), b.column(1), b.column(2), b.column(2), pa.array(z.astype(np.int64) + 1)], names=names)
-                lens = np.asarray(b.column(3).value_lengths())
-                flats.append(np.asarray(b.column(3).flatten()).astype(np.int64))
-                size += len(flats[-1])
-                entries, least = entries + len(flats[-1]), min(least, int(lens.min()))
+                h1, h2 = fingerprint(sizes, items)
+                yield rows(0, h1, h2, ids, ids, np.ones(len(ids)))
+                flats.append(items)
+                size += len(items)
+                entries, least = entries + len(items), min(least, int(sizes.min()))
                 if size > 1_000_000:
-                    keys, counts = add(keys, counts)
-                    flats, size = [], 0
+                    keys, counts, flats, size = *_tally(keys, counts, flats), [], 0
                 if len(keys) > 2 * RANKED:  # too many to rank anyway: let the shuffle add them up
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), 1, np.int8)), pa.array(keys), *(pa.array(np.zeros(len(keys), np.int64)),) * 3, pa.array(counts)], names=names)
+                    yield rows(1, keys, *(np.zeros(len(keys)),) * 3, counts)
                     keys, counts = keys[:0], counts[:0]
             if flats:
-                keys, counts = add(keys, counts)
-            zero = pa.array(np.zeros(len(keys), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), 1, np.int8)), pa.array(keys), zero, zero, zero, pa.array(counts)], names=names)
+                keys, counts = _tally(keys, counts, flats)
+            if len(keys):
+                yield rows(1, keys, *(np.zeros(len(keys)),) * 3, counts)
             if entries:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(1, 2, np.int8)), *(pa.array([v], pa.int64()) for v in (0, 0, least, least, entries))], names=names)
-            del held
+                yield rows(2, *(np.array([v]) for v in (0, 0, least, least, entries)))
 
-        rows = self._prints().select("h1", "h2", "id", "ids").mapInArrow(f, "kind tinyint, h1 bigint, h2 bigint, low bigint, high bigint, n bigint")
+        rows = self.raw.mapInArrow(f, "kind tinyint, h1 bigint, h2 bigint, low bigint, high bigint, n bigint")
         per = rows.groupBy("kind", "h1", "h2").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
         return per.where("kind > 0 OR low < high")
 
     def members(self) -> DataFrame:
         """Rows (id, rep) of the records whose set another record has too."""
         side = F.broadcast(self.copies) if small_or_none(self.copies) else self.copies
-        return self._prints().select("h1", "h2", "id").join(side, ["h1", "h2"]).select("id", "rep").distinct()
+        return self.prints().join(side, ["h1", "h2"]).select("id", "rep").distinct()
 
-    def firsts(self) -> DataFrame:
-        """Rows (id, ids) of one record of every class."""
-        if not self.has_copies:
-            return self.sets
-        side = F.broadcast(self.copies) if small_or_none(self.copies) else self.copies
-        j = self._prints().join(side, ["h1", "h2"], "left")
-        return j.where(F.col("rep").isNull() | (F.col("rep") == F.col("id"))).select("id", "ids")
+
+def _tally(keys: np.ndarray, counts: np.ndarray, flats: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    u, c = np.unique(np.concatenate(flats), return_counts=True)
+    k, at = np.unique(np.concatenate([keys, u]), return_inverse=True)
+    return k, np.bincount(at, np.concatenate([counts, c]), len(k)).astype(np.int64)
 
 
 def class_pairs(rec: Records, threshold: float | str) -> DataFrame:
@@ -286,18 +336,38 @@ def class_pairs(rec: Records, threshold: float | str) -> DataFrame:
         table = (items[by], rank[by])
         top = len(items)
     heavy = [] if not ranked else np.flatnonzero(n > LIST)
-    send = spark.sparkContext.broadcast(table)
+    known = None
+    raw = rec.raw
+    if rec.has_copies:  # all but the first of each class stay out
+        if small_or_none(rec.copies, BROADCAST_ROWS):
+            c = np.array([tuple(r) for r in rec.copies.select("h1", "h2", "rep").collect()], np.int64)  # at most BROADCAST_ROWS
+            known = tuple(c[np.lexsort((c[:, 1], c[:, 0]))].T)
+        else:
+            raw = raw.join(rec.members().where("id <> rep").select("id"), "id", "left_anti")
+    send = spark.sparkContext.broadcast((table, known))
+    size = rec.size
 
     def ranks(flat: np.ndarray, table) -> np.ndarray:
         if table is None:
             return (_mix(flat) >> np.uint64(1)).astype(np.int64)  # 63 bits: two items may share a rank only if absurdly unlucky
         return table[1][np.searchsorted(table[0], flat)]
 
-    def ordered(b: pa.RecordBatch, table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lens = np.asarray(b.column(1).value_lengths()).astype(np.int64)
-        r = ranks(np.asarray(b.column(1).flatten()).astype(np.int64), table)
-        r = r[np.lexsort((r, np.repeat(np.arange(len(lens)), lens)))]
-        return np.asarray(b.column(0)), lens, r
+    def ordered(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        table, known = send.value
+        ids, lens, items = clean(b.column(0), b.column(1), size)
+        if known is not None and len(ids):
+            h1, h2 = fingerprint(lens, items)
+            lo, hi = np.searchsorted(known[0], h1, "left"), np.searchsorted(known[0], h1, "right")
+            drop = np.zeros(len(ids), bool)
+            for r in np.flatnonzero(hi > lo):
+                for k in range(lo[r], hi[r]):
+                    drop[r] |= known[1][k] == h2[r] and known[2][k] != ids[r]
+            items = items[np.repeat(~drop, lens)]
+            ids, lens = ids[~drop], lens[~drop]
+        r = ranks(items, table)
+        row = np.repeat(np.arange(len(lens)), lens)
+        r = np.sort(row * top + r) % top if 0 < top < (1 << 62) // max(1, len(lens)) else r[np.lexsort((r, row))]
+        return ids, lens, r
 
     def prefix(lens: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Record and rank of every item that may be the first common one."""
@@ -306,18 +376,17 @@ def class_pairs(rec: Records, threshold: float | str) -> DataFrame:
         short = place < np.repeat(lens - bounds.least(lens) + 1, lens)
         return row[short], flat[short]
 
-    firsts = rec.firsts().select("id", "ids")
     if len(heavy):
         # how many records have the frequent items among their short lists
         def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             acc = np.zeros(top, np.int64)
             for b in batches:
-                _, lens, flat = ordered(b, send.value)
+                _, lens, flat = ordered(b)
                 acc += np.bincount(prefix(lens, flat)[1], minlength=top)
             at = np.flatnonzero(acc)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(acc[at])], names=["rank", "n"])
 
-        loads = firsts.mapInArrow(load, "rank bigint, n bigint").groupBy("rank").agg(F.sum("n").alias("n")).where(F.col("n") > LIST).collect()
+        loads = raw.mapInArrow(load, "rank bigint, n bigint").groupBy("rank").agg(F.sum("n").alias("n")).where(F.col("n") > LIST).collect()
         groups = {r["rank"]: -(-r["n"] // LIST) for r in loads}
     groups = groups or {}
     heavy_ranks = np.array(sorted(groups), np.int64)
@@ -329,9 +398,9 @@ def class_pairs(rec: Records, threshold: float | str) -> DataFrame:
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
+            ids, lens, flat = ordered(b)
+            if not len(ids):
                 continue
-            ids, lens, flat = ordered(b, send.value)
             start = np.cumsum(lens) - lens
             row, rank = prefix(lens, flat)
             light = ~np.isin(rank, heavy_ranks)
@@ -393,7 +462,7 @@ def class_pairs(rec: Records, threshold: float | str) -> DataFrame:
         if got:
             yield from flush(now, got)
 
-    shipped = firsts.mapInArrow(ship, "cell int, role tinyint, ids binary, lens binary, wide tinyint, items binary")
+    shipped = raw.mapInArrow(ship, "cell int, role tinyint, ids binary, lens binary, wide tinyint, items binary")
     met = shipped.repartitionById(cells, "cell").sortWithinPartitions("cell").mapInArrow(meet, "a bigint, b bigint, size_a bigint, size_b bigint, overlap bigint")
     return met.distinct() if groups else met.dropDuplicates(["a", "b"])
 
@@ -425,6 +494,6 @@ def linked_classes(df: DataFrame, id_col: str, set_col: str, threshold: float |
     rec = Records(df, id_col, set_col, least)
     pairs = materialize(class_pairs(rec, threshold), "pairs")
     links = pairs.select(F.col("a").alias("class_id")).unionAll(pairs.select("b")).groupBy("class_id").agg(F.count("*").alias("links"))
-    every = rec._prints().groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
+    every = rec.prints().distinct()
     classes = every.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     return every.join(classes, ["h1", "h2"]).select("id", "class_id", "copies").join(links, "class_id", "left").select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
