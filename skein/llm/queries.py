@@ -70,6 +70,14 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
+def p3_batch_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of batch_seq of every run: so few distinct values that the digests are exact."""
+    values = _metrics(spark, d).where("metric = 'batch_seq'").select("run_id", "value")
+    ans = digests.answers(digests.digests(values, ["run_id"], "value"), ["run_id"])
+    q = F.explode(F.map_from_arrays(F.array(*[F.lit(x) for x in digests.QUANTILES]), F.col("est")))
+    return ans.select("run_id", "n", q.alias("q", "value"))
+
+
 def p3_medians(spark: SparkSession, d: str) -> DataFrame:
     """The medians alone, of the two coarse scopes."""
     return p3_percentiles(spark, d).where("q = 0.5 AND scope <> 'run_day'")
@@ -155,13 +163,26 @@ def p9_agreement(spark: SparkSession, d: str) -> DataFrame:
     return said.join(found, "doc_id").groupBy("label", "annotator").agg(F.count("*").alias("n"), F.sum(same).alias("agree"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p1_average": p1_average, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_recall": p5_recall, "p3_percentiles": p3_percentiles, "p3_medians": p3_medians, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_measures": p9_measures, "p9_agreement": p9_agreement}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p1_average": p1_average, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_recall": p5_recall, "p3_percentiles": p3_percentiles, "p3_batch_percentiles": p3_batch_percentiles, "p3_medians": p3_medians, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_measures": p9_measures, "p9_agreement": p9_agreement}
 
 _PAIRS = f"""
 WITH e AS ({IDS}), t AS (SELECT count(DISTINCT qid) AS n_records FROM e), f AS (SELECT c, count(*) AS n FROM e GROUP BY c),
 p AS (SELECT a.c AS x, b.c AS y, count(*) AS n FROM e a JOIN e b ON a.qid = b.qid AND a.c < b.c GROUP BY 1, 2)"""
 
+_VECTORS = f"""u AS (SELECT vec_id, any_value(CAST(embeddings AS DOUBLE[{DIM}])) AS v FROM cluster_cache WHERE vec_id IS NOT NULL AND len(embeddings) = {DIM}
+  AND len(list_filter(embeddings, lambda x: x IS NOT NULL AND isfinite(x))) = {DIM} AND len(list_filter(embeddings, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+s AS (SELECT a.vec_id AS x, b.vec_id AS y, array_cosine_similarity(a.v, b.v) AS sim FROM u a JOIN u b ON a.vec_id < b.vec_id)"""
+
 SQL = {
+    "p1_found": f"""
+WITH RECURSIVE {_VECTORS}, l AS MATERIALIZED (SELECT x, y FROM s WHERE sim >= {SAME}), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(x, y) AS (SELECT x, x FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+SELECT x AS vec_id, min(y) AS group_vec_id FROM r GROUP BY x""",
+    "p3_batch_percentiles": """
+WITH m AS (SELECT DISTINCT run_id, seq, qid, ts, batch_seq, duration FROM search_metrics), b AS (SELECT run_id, CAST(batch_seq AS DOUBLE) AS v FROM m WHERE batch_seq > 0),
+q AS (SELECT unnest([0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])::DOUBLE AS q), c AS (SELECT run_id, v, count(*) AS k FROM b GROUP BY 1, 2),
+u AS (SELECT run_id, v, sum(k) OVER (PARTITION BY run_id ORDER BY v) AS upto, sum(k) OVER (PARTITION BY run_id) AS n FROM c)
+SELECT run_id, CAST(n AS BIGINT) AS n, q, min(v) AS value FROM u, q WHERE upto >= q * n GROUP BY 1, 2, 3""",
     "p6_found": f"""{_PAIRS}
 SELECT CAST(x AS BIGINT) AS cluster_id_a, CAST(y AS BIGINT) AS cluster_id_b FROM p JOIN f fa ON fa.c = x JOIN f fb ON fb.c = y, t
 WHERE p.n >= {PAIR_SHARE} * n_records AND p.n * n_records >= {PAIR_LIFT} * fa.n * fb.n""",
