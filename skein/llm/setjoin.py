@@ -36,6 +36,8 @@ RANKED = 1_000_000
 GAPS = 20_000
 #: Records of an item's short list beyond which the list is cut into groups.
 LIST = 1_000_000
+#: Items of all records sent to one partition, at most about.
+PART = 12_000_000
 #: Candidates compared at once.
 STEP = 250_000
 
@@ -63,7 +65,7 @@ def _ungaps(data: bytes, lens: np.ndarray) -> np.ndarray:
     cum = np.cumsum(b, dtype=np.int64)[b != 255]
     ends = np.cumsum(lens)
     base = np.concatenate([[0], cum[ends[:-1] - 1]]) if len(lens) else cum
-    return cum - np.repeat(base, lens)
+    return (cum - np.repeat(base, lens)).astype(np.int32)
 
 
 class Bounds:
@@ -99,13 +101,19 @@ def merge_lists(ids: np.ndarray, lens: np.ndarray, flat: np.ndarray, mine, bound
     order = np.lexsort((ids, lens))  # records by size: a lookup's partners are shorter, or equal with a smaller place
     starts = (np.cumsum(lens) - lens)[order]
     lens, ids = lens[order], ids[order]
-    flat = flat[np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))]
+    flat = flat[_runs(starts, lens)]
     probe = np.ones(len(ids), bool) if probe is None else probe[order]
     index = np.ones(len(ids), bool) if index is None else index[order]
     first = np.cumsum(lens) - lens
     n = len(ids)
-    dic = np.unique(flat)
-    tok = np.searchsorted(dic, flat).astype(np.int32)  # keeps the order of ranks
+    if len(flat) and flat[-1] >= 0 and int(flat.max()) < 1 << 24:
+        seen = np.zeros(int(flat.max()) + 1, bool)
+        seen[flat] = True
+        dic = np.flatnonzero(seen)
+        tok = (np.cumsum(seen, dtype=np.int32) - np.int32(1))[flat]  # keeps the order of ranks
+    else:
+        dic = np.unique(flat)
+        tok = np.searchsorted(dic, flat).astype(np.int32)
     del flat
     d = len(dic)
     own = mine(dic)
@@ -120,20 +128,20 @@ def merge_lists(ids: np.ndarray, lens: np.ndarray, flat: np.ndarray, mine, bound
         """Keys (item or pair of items), record and place of the last item; `most` first items of a record start a key."""
         keys, recs, places = [], [], []
         for p in range(int(most[of].max(initial=0))):
-            r = np.flatnonzero(of & (most > p))
+            r = np.flatnonzero(of & (most > p)).astype(np.int32)
             a = tok[first[r] + p]
             keep = own[a]
             r, a = r[keep], a[keep]
             if depth == 1:
                 keys.append(a)
                 recs.append(r)
-                places.append(np.full(len(r), p))
+                places.append(np.full(len(r), p, np.int32))
                 continue
             for q in range(p + 1, int((most[r] + 1).max(initial=0))):
                 s = (q <= most[r]) & (q < lens[r])
                 keys.append(a[s].astype(np.int64) * d + tok[first[r[s]] + q])
                 recs.append(r[s])
-                places.append(np.full(int(s.sum()), q))
+                places.append(np.full(int(s.sum()), q, np.int32))
         if not keys:
             return (np.zeros(0, np.int64),) * 3
         return np.concatenate(keys).astype(np.int64), np.concatenate(recs), np.concatenate(places)
@@ -170,7 +178,30 @@ def merge_lists(ids: np.ndarray, lens: np.ndarray, flat: np.ndarray, mine, bound
     near = [x[ir] for x in sketch]
     own_sketch = [x[pr] for x in sketch]
     most = np.minimum(bounds.difference(2 * lens[pr]), 255).astype(np.uint8)  # no partner of at most its size differs by more
-    begin = 0
+    def verified(held: list[tuple]) -> tuple[np.ndarray, ...]:
+        """The pairs that reach the required overlap and whose first common item this partition holds."""
+        code, need, h = (np.concatenate(v) for v in zip(*held, strict=True))
+        u, one, back = np.unique(code, return_index=True, return_inverse=True)
+        # the same pair comes under several items; the least is the first common one if this partition holds that
+        least = np.full(len(u), d)
+        np.minimum.at(least, back, h)
+        x, y, need = u % n, u // n, need[one]
+        l = lens[x]
+        pair = np.repeat(np.arange(len(x)), l)
+        t = tok[_runs(first[x], l)]
+        want = t.astype(small) * small(n) + y[pair].astype(small)
+        order = np.argsort(want)
+        want = want[order]
+        common = np.empty(len(want), bool)
+        common[order] = lists[np.minimum(np.searchsorted(lists, want), len(lists) - 1)] == want
+        o = np.bincount(pair[common], minlength=len(x))
+        lead = np.full(len(x), d)
+        np.minimum.at(lead, pair[common], t[common])
+        good = (o >= need) & own[np.minimum(lead, d - 1)] & (lead == least)
+        return ids[x[good]], ids[y[good]], lens[x[good]], lens[y[good]], o[good]
+
+    begin, size = 0, 0
+    held: list[tuple] = []
     while begin < len(pr):
         stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + STEP)))
         c = count[begin:stop]
@@ -181,7 +212,7 @@ def merge_lists(ids: np.ndarray, lens: np.ndarray, flat: np.ndarray, mine, bound
         if len(ok):
             at = begin + np.searchsorted(np.cumsum(c), ok, side="right")
             e = e[ok]
-            x, y, h, q = ir[e].astype(np.int64), pr[at], head[at], pp[at]
+            x, y, h, q = ir[e].astype(np.int64), pr[at].astype(np.int64), head[at], pp[at]
             diff = np.maximum(diff[ok], np.bitwise_count(own_sketch[1][at] ^ near[1][e]))
             both = lens[x] + lens[y]
             need = bounds.overlap(both)
@@ -190,24 +221,19 @@ def merge_lists(ids: np.ndarray, lens: np.ndarray, flat: np.ndarray, mine, bound
         else:
             x = ok
         if len(x):
-            u, one, back = np.unique(y * n + x, return_index=True, return_inverse=True)
-            # the same pair comes under several items; the least is the first common one if this partition holds that
-            least = np.full(len(u), d)
-            np.minimum.at(least, back, h)
-            x, y, need = x[one], y[one], need[one]
-            l = lens[x]
-            pair = np.repeat(np.arange(len(x)), l)
-            t = tok[np.repeat(first[x] - (np.cumsum(l) - l), l) + np.arange(int(l.sum()))]
-            want = t.astype(small) * small(n) + y[pair].astype(small)
-            place = np.searchsorted(lists, want)
-            common = lists[np.minimum(place, len(lists) - 1)] == want
-            o = np.bincount(pair[common], minlength=len(x))
-            lead = np.full(len(x), d)
-            np.minimum.at(lead, pair[common], t[common])
-            good = (o >= need) & own[np.minimum(lead, d - 1)] & (lead == least)
-            if good.any():
-                yield ids[x[good]], ids[y[good]], lens[x[good]], lens[y[good]], o[good]
+            held.append((y * n + x, need, h))
+            size += len(x)
+        if size > 500_000:
+            yield verified(held)
+            held, size = [], 0
         begin = stop
+    if held:
+        yield verified(held)
+
+
+def _runs(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Places starts[i], starts[i] + 1, ... of lens[i] each, one after another."""
+    return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
 
 
 def clean(ids: pa.Array, lists: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -323,7 +349,7 @@ def class_pairs(rec: Records, threshold: float | str) -> DataFrame:
     spark = rec.spark
     depth = 2 if bounds.least(rec.least) >= 2 else 1
     ranked = small_or_none(rec.items, RANKED)
-    parts = max(width(spark), rec.entries * 12 // (48 << 20), 1)
+    parts = max(width(spark), rec.entries * 9 // PART, 1)
     table = groups = None
     top = 0
     if ranked:
@@ -420,7 +446,7 @@ def class_pairs(rec: Records, threshold: float | str) -> DataFrame:
             out = []
             for cell, role, rows in sent:
                 l = lens[rows]
-                f = flat[np.repeat(start[rows] - (np.cumsum(l) - l), l) + np.arange(int(l.sum()))]
+                f = flat[_runs(start[rows], l)]
                 data = _gaps(f, l) if 0 < top <= GAPS else f.tobytes()
                 out.append((cell, role, ids[rows].tobytes(), l.astype(np.int32).tobytes() if l.max() > 255 else l.astype(np.uint8).tobytes(), int(l.max() > 255), data))
             cols = list(zip(*out, strict=True))
@@ -432,13 +458,12 @@ def class_pairs(rec: Records, threshold: float | str) -> DataFrame:
             ids = np.concatenate([g[1] for g in got])
             lens = np.concatenate([g[2] for g in got])
             flat = np.concatenate([g[3] for g in got])
-            role = np.concatenate([np.full(len(g[1]), g[0]) for g in got])
+            role = np.concatenate([np.full(len(g[1]), g[0], np.int8) for g in got])
+            got.clear()
             _, keep = np.unique(ids, return_index=True)  # a redelivered record
             if len(keep) < len(ids):
-                start = (np.cumsum(lens) - lens)[keep]
-                l = lens[keep]
-                flat = flat[np.repeat(start - (np.cumsum(l) - l), l) + np.arange(int(l.sum()))]
-                ids, lens, role = ids[keep], l, role[keep]
+                flat = flat[_runs((np.cumsum(lens) - lens)[keep], lens[keep])]
+                ids, lens, role = ids[keep], lens[keep], role[keep]
             if cell < parts:
                 mine = lambda r: (r % parts == cell) & ~np.isin(r, heavy_ranks)
             else:
