@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def seconds(c: Column) -> Column:
-    return F.format_string("%.4f", c.cast("double"))
+    return F.when(c.isNotNull(), F.format_string("%.4f", c.cast("double")))
 
 
 def percent(c: Column) -> Column:
-    return F.format_string("%.3f%%", c.cast("double") * 100)
+    return F.when(c.isNotNull(), F.format_string("%.3f%%", c.cast("double") * 100))
 
 
 def whole_mb(size: Column) -> Column:

@@ -103,7 +103,7 @@ def trace(scheduled: DataFrame, costs: DataFrame, capacity: int, policy: str, pr
     `keys` has a cache of its own. costs: (cluster_id, latency_sec, size_mb) of the index's
     fixed list of blocks. prefetch "first" loads, after a group's last query, the set of the
     next group's first query (of the same window); "balance" the blocks that the next group
-    uses most (ties: met first), as many as fit beside what is cached, at least one. What is
+    uses most (ties: met first), as many as fit beside what is cached, or all if nothing fits. What is
     cached isn't fetched again, and prefetched blocks are there before the next query.
     Null or empty sets have no hits and a null hit_ratio.
     """
@@ -143,7 +143,8 @@ def trace(scheduled: DataFrame, costs: DataFrame, capacity: int, policy: str, pr
                                 if c not in cache.count:
                                     freq[c] = freq.get(c, 0) + 1
                         order = sorted(freq, key=lambda c: -freq[c])
-                        fetched = order[: max(1, cache.capacity - len(cache.count))]
+                        free = cache.capacity - len(cache.count)
+                        fetched = order[:free] if free > 0 else order
                     gone = cache.load(fetched)
                 head, hits, misses, left = waiting
                 done(head, hits, misses, left + gone, fetched)
@@ -209,7 +210,7 @@ def trace(scheduled: DataFrame, costs: DataFrame, capacity: int, policy: str, pr
 
 
 def totals(trace_rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """keys + (queries, requests, hits, evictions, prefetches, load_mb, hit_ratio); no requests give a null ratio... 0 queries no row."""
+    """keys + (queries, requests, hits, evictions, prefetches, load_mb, hit_ratio); the ratio of no requests is 0."""
     agg = [F.count("*").alias("queries"), F.sum(F.size("hits") + F.size("misses")).alias("requests"), F.sum(F.size("hits")).alias("hits"), F.sum(F.size("evicted")).alias("evictions"), F.sum(F.size("prefetched")).alias("prefetches"), F.round(F.sum("load_mb"), 4).alias("load_mb")]
     t = trace_rows.groupBy(*(keys or [])).agg(*agg)
     return t.withColumn("hit_ratio", F.round(F.coalesce(F.col("hits") / F.nullif(F.col("requests"), F.lit(0)), F.lit(0.0)), 6))
