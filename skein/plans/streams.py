@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skein.functions.sets import clean_ids
 from skein.operators import index
 from skein.runtime import shared_dir, table
-from skein.streaming import cachestream, windows
+from skein.streaming import cachestream, groups, windows
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -49,7 +49,15 @@ def stream_cache(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, t, "append").drop("epoch").withColumnRenamed("key", "topic")
 
 
-QUERIES = {"stream_probe_counts": stream_probe_counts, "stream_cache": stream_cache}
+def stream_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The schedule of every window as its batch arrives, single linkage."""
+    s = _stream(spark, d, "all_results").select("window_id", "qid", "seq", clean_ids("cluster_ids_set").alias("cluster_ids"))
+    root = os.path.join(shared_dir(spark), "skein", uuid.uuid4().hex)
+    windows.run_once(s, groups.group_batches(f"{root}/out", 0.3, "single"), f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out").drop("epoch")
+
+
+QUERIES = {"stream_groups": stream_groups, "stream_probe_counts": stream_probe_counts, "stream_cache": stream_cache}
 
 SQL = {
     "stream_probe_counts": """SELECT CAST(ts AS DATE) AS day, c AS cluster_id, count(*) AS n FROM (SELECT ts, unnest(list_distinct(cluster_ids_set)) AS c FROM all_results WHERE ts IS NOT NULL) WHERE c >= 0 GROUP BY 1, 2""",

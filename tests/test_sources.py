@@ -122,3 +122,17 @@ def test_stream_equals_batch(spark, tmp_path):
     each(rows.select("qid"), 0)
     each(rows.select("qid"), 0)
     assert spark.read.option("header", True).csv(log).count() == 60
+
+
+def test_stream_groups_equal_batch(spark, tmp_path):
+    from skein.operators import grouping
+    from skein.streaming import groups
+
+    rows = spark.sql("SELECT id DIV 10 AS window_id, id AS qid, id AS seq, array(cast(id % 4 AS int), cast(id % 4 + 9 AS int)) AS cluster_ids FROM range(40)")
+    src = str(tmp_path / "in")
+    for k in range(4):
+        rows.where(f"window_id = {k}").coalesce(1).write.mode("append").parquet(src)
+    windows.run_once(readers.stream_table(spark, src, rows.schema, 1), groups.group_batches(str(tmp_path / "out"), 0.5, "complete"), str(tmp_path / "c"))
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).drop("epoch").collect())
+    want = sorted(tuple(r) for r in grouping.schedule(grouping.group_windows(rows, 0.5, "complete")).collect())
+    assert got == want
