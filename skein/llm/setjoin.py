@@ -30,20 +30,20 @@ from pyspark.sql import functions as F
 
 from skein.runtime import BROADCAST_ROWS, materialize, small_or_none, width
 
-#: Distinct items up to which they are ranked by frequency (12 bytes each, broadcast); beyond, by a bijective hash.
+#: Distinct items up to which they are ranked by frequency (16 bytes each, broadcast); beyond, by a bijective hash.
 RANKED = 1_000_000
 #: Largest rank coded by gaps of a byte.
 GAPS = 20_000
 #: Records of an item's short list beyond which the list is cut into groups.
 LIST = 1_000_000
 #: Items of all records sent to one partition, at most about.
-PART = 12_000_000
+PART = 6_000_000
 #: Candidates compared at once.
 STEP = 250_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers (splitmix64), shifted to be non-negative by dropping nothing: as uint64."""
+    """A bijection of 64-bit integers (splitmix64)."""
     z = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -106,7 +106,7 @@ def merge_lists(ids: np.ndarray, lens: np.ndarray, flat: np.ndarray, mine, bound
     index = np.ones(len(ids), bool) if index is None else index[order]
     first = np.cumsum(lens) - lens
     n = len(ids)
-    if len(flat) and flat[-1] >= 0 and int(flat.max()) < 1 << 24:
+    if len(flat) and int(flat.min()) >= 0 and int(flat.max()) < 1 << 24:
         seen = np.zeros(int(flat.max()) + 1, bool)
         seen[flat] = True
         dic = np.flatnonzero(seen)
@@ -118,7 +118,7 @@ def merge_lists(ids: np.ndarray, lens: np.ndarray, flat: np.ndarray, mine, bound
     d = len(dic)
     own = mine(dic)
     # two parity sketches: bit b is the parity of the number of items hashed to b
-    sketch = [np.bitwise_xor.reduceat((np.uint64(1) << (_mix(dic) >> np.uint64(shift) & np.uint64(63)))[tok], first) for shift in (7, 29)]
+    sketch = [_parities(tok, lens, np.uint64(1) << (_mix(dic) >> np.uint64(shift) & np.uint64(63))) for shift in (7, 29)]
     small = np.int32 if d * n < 1 << 31 else np.int64
     lists = np.repeat(np.arange(n, dtype=small), lens)
     lists += tok.astype(small) * small(n)
@@ -231,9 +231,24 @@ def merge_lists(ids: np.ndarray, lens: np.ndarray, flat: np.ndarray, mine, bound
         yield verified(held)
 
 
+def _parities(tok: np.ndarray, lens: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """XOR of the items' bits for each record, some records at a time."""
+    ends = np.cumsum(lens)
+    out = np.zeros(len(lens), np.uint64)
+    for s in range(0, len(lens), 50_000):
+        e = min(len(lens), s + 50_000)
+        low = int(ends[s] - lens[s])
+        out[s:e] = np.bitwise_xor.reduceat(bit[tok[low : int(ends[e - 1])]], ends[s:e] - lens[s:e] - low)
+    return out
+
+
 def _runs(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Places starts[i], starts[i] + 1, ... of lens[i] each, one after another."""
-    return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+    total = int(lens.sum())
+    small = np.int32 if total < 1 << 31 and (not len(starts) or int(starts.max()) + int(lens.max()) < 1 << 31) else np.int64
+    at = np.repeat((starts - (np.cumsum(lens) - lens)).astype(small), lens)
+    at += np.arange(total, dtype=small)
+    return at
 
 
 def clean(ids: pa.Array, lists: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -375,7 +390,7 @@ def class_pairs(rec: Records, threshold: float | str) -> DataFrame:
 
     def ranks(flat: np.ndarray, table) -> np.ndarray:
         if table is None:
-            return (_mix(flat) >> np.uint64(1)).astype(np.int64)  # 63 bits: two items may share a rank only if absurdly unlucky
+            return _mix(flat).view(np.int64)  # a bijection, so no two items share a rank
         return table[1][np.searchsorted(table[0], flat)]
 
     def ordered(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
