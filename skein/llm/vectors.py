@@ -30,7 +30,9 @@ from skein.runtime import BROADCAST_ROWS, materialize, small_or_none, width
 #: Rows (with probes) of a bucket that a cell takes whole.
 TARGET = 16_384
 #: Tables at the coarsest level.
-TABLES = 2
+TABLES = 3
+#: A vector goes to its second-best bucket too if the two axes differ by less than GAP / sqrt(dim).
+GAP = 0.25
 #: Rows of one side of a block of products.
 BLOCK = 1024
 #: Tolerance of single-precision products before the exact test.
@@ -69,20 +71,23 @@ class Hash:
         return m
 
     def probes(self, unit: np.ndarray) -> np.ndarray:
-        """(rows, 2 * tables) numbers of the best and second-best bucket of each table."""
+        """(rows, 2 * tables) numbers of the best and second-best bucket of each table, -1 for one not probed."""
         out = np.empty((len(unit), 2 * self.tables), np.int64)
         r = np.arange(len(unit))
         for t in range(self.tables):
             y = unit @ self.turns[t]
             a = np.abs(y)
             first = a.argmax(axis=1)
+            top = a[r, first]
             a[r, first] = -1
             second = a.argmax(axis=1)
+            near = top - a[r, second] < GAP / np.sqrt(self.padded)
             sub = np.zeros(len(unit), np.int64)
             for k in range(self.levels):
                 sub = sub * 2 + ((unit @ self.fine[t][:, k]) < 0)
             for c, axis in enumerate((first, second)):
                 out[:, 2 * t + c] = t * self.buckets + (((axis * 2 + (y[r, axis] < 0)) << self.levels) | sub)
+            out[~near, 2 * t + 1] = -1
         return out
 
 
@@ -144,7 +149,8 @@ class Collection:
                 ids, x = usable(b.column(0), b.column(1), dim)
                 if len(ids):
                     h1, h2 = fingerprint(x)
-                    load += np.bincount(h.probes(unit(x)).ravel(), minlength=len(load))
+                    p = h.probes(unit(x)).ravel()
+                    load += np.bincount(p[p >= 0], minlength=len(load))
                     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int8)), pa.array(h1), pa.array(h2), pa.array(ids), pa.array(np.ones(len(ids), np.int64))], names=names)
             at = np.flatnonzero(load)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(np.zeros(len(at), np.int64)), pa.array(np.zeros(len(at), np.int64)), pa.array(load[at])], names=names)
@@ -226,9 +232,10 @@ class Collection:
                 if not len(ids):
                     continue
                 p = h.probes(unit(x))
-                row = np.repeat(np.arange(len(ids)), p.shape[1])
-                order = np.argsort(p.ravel(), kind="stable")
-                buckets, at = np.unique(p.ravel()[order], return_index=True)
+                row = np.repeat(np.arange(len(ids)), p.shape[1])[p.ravel() >= 0]
+                p = p[p >= 0]
+                order = np.argsort(p, kind="stable")
+                buckets, at = np.unique(p[order], return_index=True)
                 out: list[tuple] = []
                 for bucket, rows in zip(buckets.tolist(), np.split(row[order], at[1:]), strict=True):
                     g = groups.get(bucket, 1)

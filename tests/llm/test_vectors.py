@@ -166,4 +166,4 @@ def test_hadamard_and_hash():
     h = vectors.Hash(DIM, 10_000_000)
     assert h.levels > 0 and h.tables == vectors.TABLES + h.levels
     p = h.probes(vectors.unit(np.random.default_rng(0).normal(size=(50, DIM)).astype(np.float32)))
-    assert p.shape == (50, 2 * h.tables) and p.max() < h.tables * h.buckets and (p[:, 0] != p[:, 1]).all()
+    assert p.shape == (50, 2 * h.tables) and p.max() < h.tables * h.buckets and (p[:, 0] != p[:, 1]).all() and (p[:, ::2] >= 0).all()
