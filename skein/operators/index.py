@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.vectors import usable
-from skein.runtime import join_checked, materialize
+from skein.runtime import join_checked
 
 DIM = 64
 #: Bytes of an element in a block's file.
@@ -75,7 +75,3 @@ def write_partitioned(vectors: DataFrame, path: str) -> None:
 def read_blocks(spark, path: str, ids: list[int]) -> DataFrame:
     """The vectors of some blocks of write_partitioned(); the ids become partition filters."""
     return spark.read.parquet(path).where(F.col("cluster_id").isin([int(i) for i in ids]))
-
-
-def materialized(vectors: DataFrame) -> DataFrame:
-    return materialize(vectors, "corpus")

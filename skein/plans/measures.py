@@ -82,6 +82,6 @@ CAST(sum(nmc) AS BIGINT) AS n_misses, CAST(sum(drs) AS BIGINT) AS loaded_mb, rou
 coalesce(CASE WHEN NOT isnan(float_value) THEN float_value END, 0.3) AS float_value, round(1 - coalesce(CASE WHEN NOT isnan(float_value) THEN float_value END, 0.3), 6) AS distance_threshold, nlist, nprobe, cache_size,
 coalesce(nullif(lower(trim(linkage)), ''), 'complete') AS linkage, coalesce(nullif(lower(trim(dynamic_thread)), ''), 'dynamic') AS dynamic_thread,
 coalesce(nullif(lower(trim(jaccard_calculation)), ''), 'vector') AS jaccard_calculation, coalesce(num_thread, 8) AS num_thread FROM run_configs""",
-    "cluster_ordinals": "SELECT c AS cluster_id, row_number() OVER (ORDER BY c) - 1 AS ordinal FROM (SELECT DISTINCT unnest(cluster_ids_set) AS c FROM all_results) WHERE c >= 0",
+    "cluster_ordinals": "SELECT c AS cluster_id, CAST(row_number() OVER (ORDER BY c) - 1 AS INTEGER) AS ordinal FROM (SELECT DISTINCT unnest(cluster_ids_set) AS c FROM all_results) WHERE c >= 0",
     "query_texts": "SELECT line_no, json_extract_string(CASE WHEN json_valid(raw_line) THEN raw_line END, '$.text') AS text FROM query_lines WHERE json_extract_string(CASE WHEN json_valid(raw_line) THEN raw_line END, '$.text') IS NOT NULL",
 }

@@ -108,12 +108,12 @@ SQL = {
     "cluster_profile": f"WITH {CORPUS} SELECT cluster_id, count(*) AS n_vectors, round(count(*) * 256 / 1048576.0, 6) AS size_mb, CAST(count(*) AS DOUBLE) AS load_cost FROM corpus GROUP BY cluster_id",
     "cluster_costs": """SELECT c.cluster_id, CASE WHEN isfinite(max(latency_sec)) THEN max(latency_sec) END AS latency_sec, coalesce(max(size_mb), 0.0) AS size_mb
 FROM (SELECT DISTINCT cluster_id FROM centroids) c LEFT JOIN cluster_stats s ON s.cluster_id = c.cluster_id GROUP BY c.cluster_id""",
-    "coarse_probe": f"{_probe_sql(_ASKED)} SELECT qid AS vec_id, probe_rank, cluster_id, round(dist, 6) AS dist FROM probes",
+    "coarse_probe": f"{_probe_sql(_ASKED)} SELECT qid AS vec_id, CAST(probe_rank AS INTEGER) AS probe_rank, cluster_id, round(dist, 6) AS dist FROM probes",
     "probe_sets": f"{_probe_sql(_ASKED)} SELECT qid AS vec_id, list_sort(list(cluster_id)) AS cluster_ids FROM probes GROUP BY qid",
-    "ivf_topk": f"{_probe_sql(_SAMPLE)}, {_IVF} SELECT qid, rank, vec_id, cluster_id, round(dist, 6) AS dist FROM ivf",
-    "per_cluster_topk": f"""{_probe_sql(_SAMPLE)} SELECT * FROM (SELECT q.qid, row_number() OVER (PARTITION BY q.qid, corpus.cluster_id ORDER BY {_PAIRS}, vec_id) AS rank, vec_id, corpus.cluster_id,
+    "ivf_topk": f"{_probe_sql(_SAMPLE)}, {_IVF} SELECT qid, CAST(rank AS INTEGER) AS rank, vec_id, cluster_id, round(dist, 6) AS dist FROM ivf",
+    "per_cluster_topk": f"""{_probe_sql(_SAMPLE)} SELECT * FROM (SELECT q.qid, CAST(row_number() OVER (PARTITION BY q.qid, corpus.cluster_id ORDER BY {_PAIRS}, vec_id) AS INTEGER) AS rank, vec_id, corpus.cluster_id,
 round({_PAIRS}, 6) AS dist FROM q JOIN probes ON q.qid = probes.qid JOIN corpus ON corpus.cluster_id = probes.cluster_id) WHERE rank <= 3""",
-    "flat_topk": f"WITH {CORPUS}, {_SAMPLE}, {_FLAT} SELECT qid, rank, vec_id, cluster_id, round(dist, 6) AS dist FROM flat",
+    "flat_topk": f"WITH {CORPUS}, {_SAMPLE}, {_FLAT} SELECT qid, CAST(rank AS INTEGER) AS rank, vec_id, cluster_id, round(dist, 6) AS dist FROM flat",
     "ivf_recall": f"""{_probe_sql(_SAMPLE)}, {_IVF}, {_FLAT} SELECT count(DISTINCT f.qid) AS queries, count(*) AS true_rows, count(i.vec_id) AS hits,
 round(count(i.vec_id) / count(*), 6) AS recall FROM flat f LEFT JOIN ivf i ON i.qid = f.qid AND i.vec_id = f.vec_id""",
 }

@@ -151,11 +151,17 @@ TRACES = {
 
 
 def cache_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Totals of every trace and topic."""
+    """Totals of every policy and topic: in order of arrival, grouped, and grouped with either prefetch."""
+    costs = materialize(_costs(spark, d), "costs")
     out = None
-    for name, f in TRACES.items():
-        t = cache.totals(f(spark, d), ["topic"]).withColumn("trace", F.lit(name.removeprefix("cache_trace_")))
-        out = t if out is None else out.unionByName(t)
+    for linkage in (None, "complete"):
+        s = materialize(_topic_schedule(spark, d, linkage), "schedule")
+        for policy in cache.POLICIES:
+            for fetch in ("none",) if linkage is None else ("none", "first", "balance"):
+                mode = "arrival" if linkage is None else "grouped" if fetch == "none" else f"grouped_{fetch}"
+                t = cache.totals(cache.trace(s, costs, CAPACITY, policy, fetch, ["topic"], "window_no"), ["topic"])
+                t = t.withColumn("policy", F.lit(policy)).withColumn("mode", F.lit(mode))
+                out = t if out is None else out.unionByName(t)
     return out
 
 
@@ -191,16 +197,16 @@ JOIN (SELECT window_id, count(*) AS n_grouped, max(seq) AS last_seq FROM windowe
     "query_chunks": f"""{_W} SELECT window_id, qid, seq, CAST((row_number() OVER (PARTITION BY window_id ORDER BY seq, qid) - 1) // (count(*) OVER (PARTITION BY window_id) // {THREADS} + 1) AS INTEGER) AS chunk FROM windowed""",
     "jaccard_pairs": f"{_P} SELECT window_id, qid_a, qid_b, round(jaccard, 9) AS jaccard, round(1 - jaccard, 9) AS distance FROM pairs WHERE jaccard >= {LEAST}",
     "group_single_linkage": f"{_G} SELECT window_id, qid, seq, group_id FROM groups",
-    "schedule_single": f"{_G} SELECT window_id, qid, seq, group_id, position FROM scheduled",
-    "schedule_arrival": f"{_W} SELECT window_id, qid, seq, seq AS group_id, row_number() OVER (PARTITION BY window_id ORDER BY seq, qid) AS position FROM windowed",
+    "schedule_single": f"{_G} SELECT window_id, qid, seq, group_id, CAST(position AS INTEGER) AS position FROM scheduled",
+    "schedule_arrival": f"{_W} SELECT window_id, qid, seq, seq AS group_id, CAST(row_number() OVER (PARTITION BY window_id ORDER BY seq, qid) AS INTEGER) AS position FROM windowed",
     "group_ends": f"{_G} SELECT window_id, group_id, first_qid, first_set, last_qid, last_set, last_qids, n_queries FROM ends",
     "prefetch_plan_first": f"{_G} SELECT window_id, group_id, trigger_qid, next_group_id, targets FROM nxt",
-    "prefetch_plan_balanced": f"""{_G} SELECT nxt.window_id, nxt.group_id, trigger_qid, next_group_id, rank, cluster_id, n FROM nxt
+    "prefetch_plan_balanced": f"""{_G} SELECT nxt.window_id, nxt.group_id, trigger_qid, next_group_id, CAST(rank AS INTEGER) AS rank, cluster_id, n FROM nxt
 JOIN freq ON freq.window_id = nxt.window_id AND freq.group_id = next_group_id WHERE rank <= {SLOTS}""",
-    "cluster_frequency": f"{_G} SELECT window_id, group_id, cluster_id, n, rank FROM freq",
-    "window_top_clusters": f"""{_D} SELECT window_id, rank, cluster_id, n FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY n DESC, met, cluster_id) AS rank FROM
+    "cluster_frequency": f"{_G} SELECT window_id, group_id, cluster_id, n, CAST(rank AS INTEGER) AS rank FROM freq",
+    "window_top_clusters": f"""{_D} SELECT window_id, CAST(rank AS INTEGER) AS rank, cluster_id, n FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY n DESC, met, cluster_id) AS rank FROM
 (SELECT window_id, cluster_id, count(*) AS n, min(seq) AS met FROM (SELECT window_id, seq, unnest(cluster_ids) AS cluster_id FROM delivered) GROUP BY 1, 2)) WHERE rank <= 10""",
-    "placement_order": f"""{_D}, {_C} SELECT qid, cluster_id, size_mb, load_rank, CAST((load_rank - 1) // {THREADS} AS INTEGER) AS batch FROM
+    "placement_order": f"""{_D}, {_C} SELECT qid, cluster_id, size_mb, CAST(load_rank AS INTEGER) AS load_rank, CAST((load_rank - 1) // {THREADS} AS INTEGER) AS batch FROM
 (SELECT qid, e.cluster_id, coalesce(size_mb, 0.0) AS size_mb, row_number() OVER (PARTITION BY qid ORDER BY coalesce(size_mb, 0.0) DESC, e.cluster_id) AS load_rank
  FROM (SELECT qid, unnest(cluster_ids) AS cluster_id FROM delivered) e LEFT JOIN costs ON costs.cluster_id = e.cluster_id)""",
     "adaptive_threads": f"""{_D}, {_C} SELECT qid, CAST(n_blocks AS INTEGER) AS n_blocks, CAST(greatest(1, least(n_blocks, 8, least(n_blocks, ask), 2048)) AS INTEGER) AS threads FROM
