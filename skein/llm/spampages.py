@@ -41,10 +41,24 @@ USUAL = 0.62
 
 # Forms of links and marks that end a sentence.
 _BREAK = r"</?(?:p|br|div|li|ul|ol|b|i|em|strong|span|tr|td)\b[^>]{0,60}>"
-_LINK = r"<a\b[^>]*>|</a>|\bh(?:tt|xx)ps?\W*\S+|\bwww\W+\S+|\S*\s?(?:\.|\(dot\)|\[\.\])\s?(?:test|invalid|example|com|net|org|info|biz|shop)\b(?:/\S*)?|(?<!\S)[@#]\S+"
+_LINK = r"<a\b[^>]*>|</a>|\bh(?:tt|xx)ps?\W*\S+|\bwww\W+\S+|(?<!\S)[@#]\S+"
+_HOST = r"\s?(?:\.|\(dot\)|\[\.\])\s?(?:test|invalid|example|com|net|org|info|biz|shop)\b(?:/\S*)?"
 _END = r"""(?<=[^\s.,;:|/])\s?[.!?؟。！？…]+["'»”)’]*(?=\s|$)|[。！？؟]|\n+|(?<=[\p{Ll}\p{Lo}]{2})[.!?](?=\p{Lu})"""
 _WORD = r"\p{L}[\p{L}\p{M}'’-]*"
 
+# Letters of the writing systems, as ranges of code points.
+_RANGES = {
+    "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x1E00, 0x1EFF), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)),
+    "cyrillic": ((0x400, 0x52F),),
+    "arabic": ((0x620, 0x64A), (0x66E, 0x6D3), (0x750, 0x77F), (0x8A0, 0x8C9), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC)),
+    "cjk": ((0xE01, 0xE3A), (0x3041, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D)),
+}
+_SCRIPTS = list(_RANGES)
+_KIND = np.zeros(0x10001, np.int8)
+for _i, _ranges in enumerate(_RANGES.values()):
+    for _a, _b in _ranges:
+        _KIND[_a : _b + 1] = _i + 1
+
 
 class Judge:
     """The measures of one text; baseline: (script, length class) -> usual ratio."""
@@ -52,8 +66,7 @@ class Judge:
     def __init__(self, baseline: dict[tuple[str, int], float] | None = None) -> None:
         import regex
 
-        self.brk, self.link, self.end, self.word = (regex.compile(p, regex.I if p is not _END else 0) for p in (_BREAK, _LINK, _END, _WORD))
-        self.scripts = [(s, regex.compile(p)) for s, p in (("latin", r"\p{Latin}"), ("cyrillic", r"\p{Cyrillic}"), ("arabic", r"\p{Arabic}"), ("cjk", r"[\p{Hiragana}\p{Katakana}\p{Han}\p{Thai}]"))]
+        self.brk, self.link, self.host, self.end, self.word = (regex.compile(p, regex.I if p is not _END else 0) for p in (_BREAK, _LINK, _HOST, _END, _WORD))
         self.baseline = baseline or {}
 
     def plain(self, text: str) -> str:
@@ -66,9 +79,11 @@ class Judge:
         return self.brk.sub("\n", text).strip()
 
     def script(self, text: str) -> str:
-        n = [(len(p.findall(text)), s) for s, p in self.scripts]
-        most = max(n, key=lambda x: x[0])
-        return most[1] if most[0] else "other"
+        """The writing system of most letters; "other" without any."""
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = _KIND[np.minimum(c, len(_KIND) - 1)]
+        n = np.bincount(kind, minlength=len(_SCRIPTS) + 1)[1:]
+        return _SCRIPTS[int(n.argmax())] if n.any() else "other"
 
     def blocks(self, text: str) -> Iterator[tuple[int, int]]:
         """Ends of blocks of about BLOCK characters, each overlapping the next by half."""
@@ -98,6 +113,11 @@ class Judge:
         link = np.zeros(len(text) + 1, np.int64)
         for m in self.link.finditer(text):
             link[m.start() : m.end()] = 1
+        for m in self.host.finditer(text):
+            a = m.start()
+            while a and not link[a - 1] and not text[a - 1].isspace():
+                a -= 1
+            link[a : m.end()] = 1
         upto = np.concatenate([[0], np.cumsum(link)])
         longest = SENTENCE_CJK if script == "cjk" else SENTENCE
         at = 0
