@@ -27,12 +27,25 @@ from skein.runtime import join_checked, materialize
 
 #: Distinct items up to which a split counts in a dense triangle (8 bytes a pair).
 DENSE_ITEMS = 2_000
+#: Pairs made at once.
+STEP = 2_000_000
 #: Pairs that a split holds at once beyond that.
 SPARSE_STEP = 2_000_000
 #: Edges of the grid of p-values, in natural logarithms.
 GRID = np.concatenate([[-700.0, -500.0, -400.0], np.arange(-300, -50, 5.0), np.arange(-50, 0.001, 0.05)])
 
 
+def _pairs(s: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places i < j of all pairs of s items, at most about STEP at a time."""
+    if s * (s - 1) // 2 <= STEP:
+        yield np.triu_indices(s, 1)
+        return
+    for i in range(s - 1):
+        for j in range(i + 1, s, STEP):
+            to = np.arange(j, min(s, j + STEP))
+            yield np.full(len(to), i), to
+
+
 def pair_counts(records: DataFrame, items: DataFrame, id_col: str = "id", keys_col: str = "ids") -> DataFrame:
     """Rows (a, b, n), a < b, of all pairs of keys in at least one record.
 
@@ -74,13 +87,13 @@ def pair_counts(records: DataFrame, items: DataFrame, id_col: str = "id", keys_c
                 flat = np.searchsorted(dic, flat)
             for s in np.unique(lens[lens > 1]):
                 starts = offs[lens == s]
-                i, j = np.triu_indices(s, 1)
-                step = max(1, 1_000_000 // len(i))
+                step = max(1, STEP // (s * (s - 1) // 2))
                 for k in range(0, len(starts), step):
                     m = flat[starts[k : k + step, None] + np.arange(s)]
-                    if small:
-                        dense += np.bincount((m[:, i] * len(dic) + m[:, j]).ravel(), minlength=dense.size).reshape(dense.shape)
-                    else:
+                    for i, j in _pairs(s):
+                        if small:
+                            dense += np.bincount((m[:, i] * len(dic) + m[:, j]).ravel(), minlength=dense.size).reshape(dense.shape)
+                            continue
                         ab = np.stack([m[:, i].ravel(), m[:, j].ravel()], axis=1)
                         held.append((ab, np.ones(len(ab), np.int64)))
                         size += len(ab)

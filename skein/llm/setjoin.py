@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ GAPS = 20_000
 LIST = 1_000_000
 #: Items of all records sent to one partition, at most about.
 PART = 6_000_000
+#: Size of a record beyond which it looks up by single items: the pairs of a prefix grow as its square.
+LONG = 200
 #: Candidates compared at once.
 STEP = 250_000
 
@@ -484,7 +487,12 @@ def class_pairs(rec: Records, threshold: float | str) -> DataFrame:
             else:
                 one = max((r for r in where if where[r] <= cell), key=lambda r: where[r])
                 mine = lambda r: r == one
-            for a, b, la, lb, o in merge_lists(ids, lens, flat, mine, bounds, depth, (role & 1) > 0, (role & 2) > 0):
+            asks, asked = (role & 1) > 0, (role & 2) > 0
+            long = lens > LONG
+            runs = [merge_lists(ids, lens, flat, mine, bounds, depth, asks & ~long, asked & ~long)]
+            if long.any():  # with every record that is long enough for a long one
+                runs.append(merge_lists(ids, lens, flat, mine, bounds, 1, asks & long, asked & (lens >= bounds.least(LONG + 1))))
+            for a, b, la, lb, o in chain(*runs):
                 if len(a):
                     swap = a > b
                     yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a)), pa.array(np.where(swap, a, b)), pa.array(np.where(swap, lb, la)), pa.array(np.where(swap, la, lb)), pa.array(o)], names=["a", "b", "size_a", "size_b", "overlap"])

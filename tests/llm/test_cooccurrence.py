@@ -48,6 +48,15 @@ def test_counts_lift_and_surprise(spark, monkeypatch, dense):
     assert sum(r["surprising"] for r in got.values()) < 0.2 * len(got)
 
 
+def test_long_records_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(co, "STEP", 7)
+    rows = [(1, list(range(40))), (2, list(range(20, 60))), (3, [1, 2])]
+    df = spark.createDataFrame(rows, "id bigint, ids array<int>")
+    for dense in (True, False):
+        monkeypatch.setattr(co, "DENSE_ITEMS", 100 if dense else 3)
+        assert {(r["a"], r["b"]): r["n"] for r in co.associations(df).collect()} == counts(rows)
+
+
 def test_fit_reproduces_frequencies_and_sizes():
     freq, items = np.array([5.0, 20, 50]), np.array([10.0, 4, 2])
     size, baskets = np.array([1.0, 2, 4]), np.array([60.0, 55, 15])

@@ -57,6 +57,16 @@ def test_cut_lists_and_hashed_ranks(spark, monkeypatch):
     assert {(r["a"], r["b"]) for r in setjoin.similar_records(table(spark, rows), "qid", "items", 0.7, 5).collect()} == want
 
 
+def test_long_records(spark, monkeypatch):
+    rows = sample(5)
+    want = brute(rows, 0.7, 5)
+    monkeypatch.setattr(setjoin, "LONG", 7)
+    assert {(r["a"], r["b"]) for r in setjoin.similar_records(table(spark, rows), "qid", "items", 0.7, 5).collect()} == want
+    monkeypatch.undo()
+    far = [(1, list(range(20_000))), (2, list(range(100, 20_000))), (3, list(range(30_000, 30_300))), (4, list(range(30_050, 30_300)))]
+    assert {(r["a"], r["b"]) for r in setjoin.similar_records(table(spark, far), "qid", "items", 0.7, 5).collect()} == {(1, 2), (3, 4)}
+
+
 def test_exactly_at_the_threshold(spark):
     rows = [(1, list(range(10))), (2, list(range(7)) + [10, 11, 12][:0]), (3, list(range(6))), (4, list(range(100, 117))), (5, list(range(103, 120)))]
     got = {(r["a"], r["b"]) for r in setjoin.similar_records(table(spark, rows), "qid", "items", 0.7, 5).collect()}
