@@ -1,16 +1,17 @@
 """Grouping records into similarity clusters (problem 1).
 
 Reciprocal-nearest-neighbour linkage on a sparse graph. The links are pairs of
-vectors at or above the threshold, found by the hashing of skein.llm.vectors: the
-best of every vector and enough to connect whatever is connected. Every round all
+vectors at or above the threshold, found by the hashing of skein.llm.vectors. Every round all
 pairs of clusters that are each other's best merge at once; the links between two
 clusters become one link with their sum and number. It ends when no link is left
 at the threshold. Two readings of the average:
 
 - "linked": the mean of the links there are. It never falls below the threshold,
   so everything linked directly or through others ends in one cluster. This is
-  the grouping that p1_found defines.
+  the grouping that p1_found defines. The best links of every vector and enough to
+  connect whatever is connected give the same groups as all links.
 - "all": missing links count as 0, the usual average linkage on a sparse graph.
+  Every met link takes part, and a class of exact copies weighs as many as it has.
 
 No merge crosses a connected component. So components, found first, are the unit
 of distribution: a task takes the links of many components and runs the rounds on
@@ -32,7 +33,7 @@ from skein.runtime import join_checked, materialize, small_or_none
 
 #: Links of a component up to which one task runs its rounds.
 LOCAL = 500_000
-#: Links kept for every vector besides those that connect.
+#: Links kept for every vector besides those that connect, where links there are decide ("linked").
 LINKS = 8
 
 
@@ -53,14 +54,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link_rounds(a: np.ndarray, b: np.ndarray, s: np.ndarray, least: float, linkage: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Clusters of the ends of links: (ids, cluster of each, rounds). A cluster's name is its smallest id."""
+def link_rounds(a: np.ndarray, b: np.ndarray, s: np.ndarray, least: float, linkage: str, na: np.ndarray | None = None, nb: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Clusters of the ends of links: (ids, cluster of each, rounds). A cluster's name is its smallest id.
+
+    na, nb: equal vectors that each end stands for (1 without).
+    """
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     n = len(ids)
     x, y = at[: len(a)], at[len(a) :]
-    x, y = np.minimum(x, y), np.maximum(x, y)
     w = np.ones(len(x))
     size = np.ones(n)
+    if na is not None:
+        size[x], size[y] = na, nb
+        w = size[x] * size[y]
+        s = s * w
+    x, y = np.minimum(x, y), np.maximum(x, y)
     where = np.arange(n)
     rounds = 0
     while len(x):
@@ -95,10 +103,11 @@ def link_rounds(a: np.ndarray, b: np.ndarray, s: np.ndarray, least: float, linka
 
 
 def _rounds_over_cluster(links: DataFrame, least: float, linkage: str) -> DataFrame:
-    """link_rounds() by joins and aggregates; links: (a, b, sim) of oversized components."""
+    """link_rounds() by joins and aggregates; links: (a, b, sim) or (a, b, sim, na, nb) of oversized components, a < b."""
     ends = links.select(F.col("a").alias("v")).union(links.select("b")).distinct()
     assign = materialize(ends.select("v", F.col("v").alias("c")), "assign")
-    edges = materialize(links.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.col("sim").alias("s"), F.lit(1.0).alias("w"), F.lit(1.0).alias("nx"), F.lit(1.0).alias("ny")), "edges")
+    nx, ny = (F.col(c).cast("double") if c in links.columns else F.lit(1.0) for c in ("na", "nb"))
+    edges = materialize(links.select(F.col("a").alias("x"), F.col("b").alias("y"), (F.col("sim") * nx * ny).alias("s"), (nx * ny).alias("w"), nx.alias("nx"), ny.alias("ny")), "edges")
     mean = F.col("s") / (F.col("w") if linkage == "linked" else F.col("nx") * F.col("ny"))
     while True:
         live = edges.withColumn("m", mean)
@@ -121,7 +130,11 @@ def _rounds_over_cluster(links: DataFrame, least: float, linkage: str) -> DataFr
 
 
 def linked_clusters(links: DataFrame, least: float, linkage: str = "linked", local: int = LOCAL) -> DataFrame:
-    """Rows (v, c) of the ends of links (a, b, sim), a < b, each pair once; c is the cluster's smallest id."""
+    """Rows (v, c) of the ends of links (a, b, sim), a < b, each pair once; c is the cluster's smallest id.
+
+    With columns na and nb each end stands for so many equal vectors.
+    """
+    cols = [c for c in ("a", "b", "sim", "na", "nb") if c in links.columns]
     labels = components(links)
     named = links.join(labels.select(F.col("v").alias("a"), "label"), "a")
     named = materialize(named, "named")
@@ -129,9 +142,10 @@ def linked_clusters(links: DataFrame, least: float, linkage: str = "linked", loc
     big = materialize(big, "big")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[np.asarray(b.column(c)) for c in range(3)] for b in batches]
+        parts = [[np.asarray(b.column(c)) for c in range(len(cols))] for b in batches]
         if parts:
-            ids, c, _ = link_rounds(*(np.concatenate(x) for x in zip(*parts, strict=True)), least, linkage)
+            a, b, s, *n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            ids, c, _ = link_rounds(a, b, s, least, linkage, *n)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(c)], names=["v", "c"])
 
     if big.limit(1).count() == 0:
@@ -139,8 +153,8 @@ def linked_clusters(links: DataFrame, least: float, linkage: str = "linked", loc
     else:
         small = join_checked(named, big, ["label"], "left_anti")
         huge = join_checked(named, big, ["label"], "left_semi")
-    out = small.repartition("label").select("a", "b", "sim").mapInArrow(f, "v bigint, c bigint")
-    return out if huge is None else out.unionByName(_rounds_over_cluster(huge.select("a", "b", "sim"), least, linkage))
+    out = small.repartition("label").select(*cols).mapInArrow(f, "v bigint, c bigint")
+    return out if huge is None else out.unionByName(_rounds_over_cluster(huge.select(*cols), least, linkage))
 
 
 def vector_groups(df: DataFrame, id_col: str, vec_col: str, dim: int, least: float, linkage: str = "linked", local: int = LOCAL) -> DataFrame:
@@ -150,8 +164,13 @@ def vector_groups(df: DataFrame, id_col: str, vec_col: str, dim: int, least: flo
     vector; copies under different ids are in one group. An empty table gives no rows.
     """
     c = Collection(df, id_col, vec_col, dim)
-    met = c.neighbours(LINKS, least, spanning=True)
+    met = c.neighbours(LINKS, least, spanning=True) if linkage == "linked" else c.neighbours(None, least)
     links = materialize(met.where("id < other").groupBy(F.col("id").alias("a"), F.col("other").alias("b")).agg(F.max("sim").alias("sim")), "links")
+    if c.has_copies and linkage != "linked":
+        n = materialize(c.members().groupBy("rep").agg(F.count("*").alias("n")), "sizes")
+        for end in ("a", "b"):
+            links = join_checked(links, n.select(F.col("rep").alias(end), F.col("n").alias(f"n{end}")), [end], "left").fillna(1, [f"n{end}"])
+        links = materialize(links.select("a", "b", "sim", "na", "nb"), "weighted")
     groups = linked_clusters(links, least, linkage, local).select(F.col("v").alias("id"), F.col("c").alias("group_id"))
     if c.has_copies:
         groups = materialize(groups, "groups")

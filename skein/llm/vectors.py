@@ -205,10 +205,10 @@ class Collection:
         other = self.members().where("id <> rep").select("id")
         return self.vectors.join(other, "id", "left_anti"), None
 
-    def neighbours(self, k: int, least: float, spanning: bool = False) -> DataFrame:
+    def neighbours(self, k: int | None, least: float, spanning: bool = False) -> DataFrame:
         """Rows (id, other, sim) of candidates with a cosine of at least `least`, of one member of each class.
 
-        For every id at least its k best met partners are there (from both sides).
+        For every id at least its k best met partners are there (from both sides); all of them if k is None.
         With `spanning`, partners also connect every set of vectors of a cell that
         is connected at `least`, however many there are.
         """
@@ -264,8 +264,7 @@ class Collection:
                     i, first = np.unique(i, return_index=True)  # a vector delivered twice, or met in both probes
                     got.append((i, v[first]))
                 if got:
-                    a, b, s = compare(*got[0], *(got[1] if len(got) > 1 else got[0]), same=len(got) == 1, k=k, least=least, spanning=spanning)
-                    if len(a):
+                    for a, b, s in compare(*got[0], *(got[1] if len(got) > 1 else got[0]), same=len(got) == 1, k=k, least=least, spanning=spanning):
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["id", "other", "sim"])
 
             now, sides = None, {}
@@ -283,8 +282,8 @@ class Collection:
         return cells.mapInArrow(meet, "id bigint, other bigint, sim double")
 
 
-def compare(ia: np.ndarray, a: np.ndarray, ib: np.ndarray, b: np.ndarray, same: bool, k: int, least: float, spanning: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates (id, other, sim) of two sides of a cell, in blocks; both directions."""
+def compare(ia: np.ndarray, a: np.ndarray, ib: np.ndarray, b: np.ndarray, same: bool, k: int | None, least: float, spanning: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates (id, other, sim) of two sides of a cell, in blocks; both directions. Without k, pairs leave as they are found."""
     ua, ub = unit(a), (unit(b) if not same else None)
     ub = ua if same else ub
     da, db = a.astype(np.float64), (a if same else b).astype(np.float64)
@@ -301,7 +300,7 @@ def compare(ia: np.ndarray, a: np.ndarray, ib: np.ndarray, b: np.ndarray, same:
                 i, j = i[i < j], j[i < j]
             if not len(i):
                 continue
-            if len(i) > 16 * BLOCK and not spanning:  # a dense block: nearly equal values at the edge stay for the exact test
+            if len(i) > 16 * BLOCK and k is not None and not spanning:  # a dense block: nearly equal values at the edge stay for the exact test
                 i, j = _block_best(sim, i, j, k + 16)
             i, j = i + s, j + t
             exact = np.empty(len(i))
@@ -310,10 +309,19 @@ def compare(ia: np.ndarray, a: np.ndarray, ib: np.ndarray, b: np.ndarray, same:
                 exact[c : c + 65536] = np.einsum("ij,ij->i", da[x], db[y]) / (na[x] * nb[y])
             ok = exact >= least
             pi, pj, ps = np.concatenate([pi, i[ok]]), np.concatenate([pj, j[ok] + shift]), np.concatenate([ps, exact[ok]])
-            if len(pi) > 64 * BLOCK + 8 * k * len(names):
+            if k is None and len(pi) > 64 * BLOCK:
+                yield _both_ways(pi, pj, ps, names)
+                pi, pj, ps = pi[:0], pj[:0], ps[:0]
+            elif k is not None and len(pi) > 64 * BLOCK + 8 * k * len(names):
                 pi, pj, ps = reduce_pairs(pi, pj, ps, names, k, spanning)
-    pi, pj, ps = reduce_pairs(pi, pj, ps, names, k, spanning)
-    return np.concatenate([names[pi], names[pj]]), np.concatenate([names[pj], names[pi]]), np.concatenate([ps, ps])
+    if k is not None:
+        pi, pj, ps = reduce_pairs(pi, pj, ps, names, k, spanning)
+    if len(pi):
+        yield _both_ways(pi, pj, ps, names)
+
+
+def _both_ways(i: np.ndarray, j: np.ndarray, s: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.concatenate([names[i], names[j]]), np.concatenate([names[j], names[i]]), np.concatenate([s, s])
 
 
 def _block_best(sim: np.ndarray, i: np.ndarray, j: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:

@@ -159,6 +159,25 @@ def test_parallel_rounds_equal_one_merge_at_a_time(seed):
     assert dict(zip(ids.tolist(), c.tolist(), strict=True)) == naive_average(links, 0.3) and rounds >= 1
 
 
+def test_average_over_all_links_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TABLES", 12)
+    rng = np.random.default_rng(5)
+    rows = []
+    for size, noise in ((30, 0.03), (25, 0.06), (12, 0.075)):  # more than LINKS partners each
+        c = rng.normal(size=DIM)
+        c /= np.linalg.norm(c)
+        rows += [(len(rows) + k, [float(x) for x in c + rng.normal(0, noise, DIM)]) for k in range(size)]
+    rows += [(500 + k, rows[n][1]) for k, n in enumerate((1, 1, 31, 40, 40, 40, 56, 60))]  # copies weigh as many as they are
+    ids, s = cosines(rows)
+    links = [(ids[a], ids[b], s[a, b]) for a in range(len(ids)) for b in range(a + 1, len(ids)) if s[a, b] >= 0.9]
+    want = naive_average(links, 0.9)
+    want = {v: g for v, g in want.items() if list(want.values()).count(g) > 1}
+    df = table(spark, rows)
+    for local in (clusters.LOCAL, 2):  # in a task, and over the cluster
+        got = {r["id"]: r["group_id"] for r in clusters.vector_groups(df, "id", "vec", DIM, 0.9, "all", local).collect()}
+        assert got == want and max(list(want.values()).count(g) for g in want.values()) > 30
+
+
 def test_hadamard_and_hash():
     x = np.eye(8)
     h = vectors.hadamard(x)
