@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LINKAGES = ("single", "complete", "average")
+#: Different sets of one side of a matrix where windows have no bound.
+BLOCK = 1024
 
 
 def cap_window(queries: DataFrame, cap: int | None, window_col: str = "window_id", seq_col: str = "seq") -> DataFrame:
@@ -105,6 +107,85 @@ def group_windows(windowed: DataFrame, least: float, linkage: str = "complete",
     return windowed.select(window_col, "qid", "seq", "cluster_ids").groupBy(window_col).applyInPandas(f, f"`{window_col}` {kind}, qid bigint, seq bigint, group_id bigint")
 
 
+def _star(near: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the nodes joined by `near`, left by right (by left without right); root is the smallest node joined."""
+    nodes = left if right is None else np.concatenate([left, right])
+    root = np.full(len(nodes), -1)
+    n = len(left)
+    for start in range(n):
+        if root[start] >= 0:
+            continue
+        members, front = [start], np.array([start])
+        root[start] = start
+        while len(front):
+            if right is None:
+                new = np.flatnonzero(near[front].any(axis=0) & (root < 0))
+            else:
+                rows, cols = front[front < n], front[front >= n] - n
+                new = np.concatenate([np.flatnonzero(near[:, cols].any(axis=1) & (root[:n] < 0)), n + np.flatnonzero(near[rows].any(axis=0) & (root[n:] < 0))])
+            root[new] = start
+            members += new.tolist()
+            front = new
+        root[members] = members[int(nodes[members].argmin())]
+    met = root >= 0
+    return nodes[met], nodes[root[met]]
+
+
+def group_whole_windows(windowed: DataFrame, least: float, window_col: str = "window_id") -> DataFrame:
+    """Rows (window, qid, seq, group_id) as of group_windows() by single linkage, for windows of any size.
+    windowed is a written table.
+
+    Single linkage groups are the connected components of the pairs that may merge. Equal sets of a window are one
+    node; nodes are cut into blocks of BLOCK, every pair of blocks meets in a cell of its own, and a cell
+    returns a star per component, at most 2 x BLOCK rows, which are joined per window.
+    """
+    from skein.runtime import materialize
+
+    w = windowed.select(window_col, "qid", "seq", F.to_json(F.struct(window_col)).alias("_w"), F.array_sort(F.array_distinct(F.filter(F.coalesce("cluster_ids", F.array()), lambda x: x.isNotNull()))).alias("_set"))
+    sets = w.where(F.size("_set") > 0).groupBy("_w", "_set").agg(F.min("seq").alias("low"))
+    sets = sets.withColumn("node", F.row_number().over(Window.partitionBy("_w").orderBy("low", "_set")) - 1)
+    sets = materialize(sets, "sets")
+    parts = sets.groupBy("_w").agg((F.floor(F.max("node") / BLOCK) + 1).cast("int").alias("parts"))
+    own = F.floor(F.col("node") / BLOCK).cast("int")
+    cells = sets.join(parts, "_w").withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select("_w", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "node", "low", "_set")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        node, sims = pdf["node"].to_numpy(), _jaccard_matrix([np.asarray(x) for x in pdf["_set"]])
+        near = 1 - sims < 1 - least - 1e-12
+        if i == j:
+            x, root = _star(near, node, None)
+        else:
+            a = (pdf["own"] == i).to_numpy()
+            x, root = _star(near[np.ix_(a, ~a)], node[a], node[~a])
+        low = dict(zip(node, pdf["low"], strict=True))
+        return pd.DataFrame({"_w": pdf["_w"].iloc[0], "node": x, "root": root, "low": [low[v] for v in x]})
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, at = np.unique(pdf["node"].to_numpy(), return_inverse=True)
+        root = np.searchsorted(nodes, pdf["root"].to_numpy())
+        label = np.arange(len(nodes))
+        while True:
+            m = np.minimum(label[at], label[root])
+            new = label.copy()
+            np.minimum.at(new, at, m)
+            np.minimum.at(new, root, m)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        low = np.zeros(len(nodes), np.int64)
+        low[at] = pdf["low"].to_numpy()
+        return pd.DataFrame({"_w": pdf["_w"].iloc[0], "node": nodes, "group_id": low[label]})
+
+    links = cells.groupBy("_w", "i", "j").applyInPandas(meet, "_w string, node int, root int, low bigint")
+    groups = links.groupBy("_w").applyInPandas(join, "_w string, node int, group_id bigint")
+    named = sets.join(groups, ["_w", "node"]).select("_w", "_set", "group_id")
+    return w.join(named, ["_w", "_set"], "left").select(window_col, "qid", "seq", F.coalesce("group_id", "seq").alias("group_id"))
+
+
 def schedule(groups: DataFrame, window_col: str = "window_id") -> DataFrame:
     """Adds `position` (from 1 in each window): groups in order of first arrival, arrival order within a group."""
     w = Window.partitionBy(window_col).orderBy("group_id", "seq", "qid")

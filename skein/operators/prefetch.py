@@ -38,7 +38,8 @@ def cluster_frequency(scheduled: DataFrame, window_col: str = "window_id") -> Da
 
     Ties go to the block met first: by the position of its first query, then by id.
     """
-    e = scheduled.select(window_col, "group_id", "position", F.explode("cluster_ids").alias("cluster_id"))
+    one = scheduled.select(window_col, "group_id", "position", "cluster_ids").repartition(window_col, "group_id")  # sets travel once, ids never
+    e = one.select(window_col, "group_id", "position", F.explode("cluster_ids").alias("cluster_id"))
     n = e.groupBy(window_col, "group_id", "cluster_id").agg(F.count("*").alias("n"), F.min("position").alias("met"))
     w = Window.partitionBy(window_col, "group_id").orderBy(F.desc("n"), "met", "cluster_id")
     return n.withColumn("rank", F.row_number().over(w)).drop("met")

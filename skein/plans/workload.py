@@ -78,12 +78,23 @@ def schedule_arrival(spark: SparkSession, d: str) -> DataFrame:
     return grouping.pass_through(_windowed(spark, d))
 
 
+def schedule_arrival_whole(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.pass_through(_delivered(spark, d))
+
+
 def _scheduled(spark: SparkSession, d: str) -> DataFrame:
     w = materialize(_windowed(spark, d), "windowed")
     s = grouping.schedule(grouping.group_windows(w, LEAST, "single"))
     return materialize(s.join(w.select("qid", "cluster_ids"), "qid"), "scheduled")
 
 
+def _scheduled_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As _scheduled(), of every query of every window, as the prefetching scripts group them."""
+    w = materialize(_delivered(spark, d), "delivered")
+    s = grouping.schedule(grouping.group_whole_windows(w, LEAST))
+    return materialize(s.join(w.select("qid", "cluster_ids"), "qid"), "scheduled")
+
+
 def group_ends(spark: SparkSession, d: str) -> DataFrame:
     return prefetch.group_ends(_scheduled(spark, d), last_n=2)
 
@@ -101,6 +112,23 @@ def cluster_frequency(spark: SparkSession, d: str) -> DataFrame:
     return prefetch.cluster_frequency(_scheduled(spark, d))
 
 
+def group_ends_whole(spark: SparkSession, d: str) -> DataFrame:
+    return prefetch.group_ends(_scheduled_whole(spark, d), last_n=2)
+
+
+def prefetch_plan_first_whole(spark: SparkSession, d: str) -> DataFrame:
+    return prefetch.plan_first(prefetch.group_ends(_scheduled_whole(spark, d)))
+
+
+def prefetch_plan_balanced_whole(spark: SparkSession, d: str) -> DataFrame:
+    s = _scheduled_whole(spark, d)
+    return prefetch.plan_balanced(s, prefetch.group_ends(s), SLOTS)
+
+
+def cluster_frequency_whole(spark: SparkSession, d: str) -> DataFrame:
+    return prefetch.cluster_frequency(_scheduled_whole(spark, d))
+
+
 def window_top_clusters(spark: SparkSession, d: str) -> DataFrame:
     return prefetch.window_top(_delivered(spark, d), 10)
 
@@ -165,7 +193,7 @@ def cache_summary(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (query_windows, count_windows, window_cap, query_chunks, jaccard_pairs, group_single_linkage, group_complete_linkage, group_average_linkage, schedule_single, schedule_arrival, group_ends, prefetch_plan_first, prefetch_plan_balanced, cluster_frequency, window_top_clusters, placement_order, adaptive_threads)} | TRACES | {"cache_summary": cache_summary}
+QUERIES = {f.__name__: f for f in (query_windows, count_windows, window_cap, query_chunks, jaccard_pairs, group_single_linkage, group_complete_linkage, group_average_linkage, schedule_single, schedule_arrival, group_ends, prefetch_plan_first, prefetch_plan_balanced, cluster_frequency, schedule_arrival_whole, group_ends_whole, prefetch_plan_first_whole, prefetch_plan_balanced_whole, cluster_frequency_whole, window_top_clusters, placement_order, adaptive_threads)} | TRACES | {"cache_summary": cache_summary}
 
 _D = """WITH RECURSIVE first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY seq) AS r FROM all_results WHERE qid IS NOT NULL AND seq IS NOT NULL) WHERE r = 1),
 delivered AS (SELECT qid, window_id, seq, coalesce(lower(trim(topic)), '') AS topic, ts, coalesce(list_sort(list_distinct(list_filter(cluster_ids_set, lambda x: x >= 0))), []) AS cluster_ids FROM first)"""
@@ -213,3 +241,5 @@ JOIN freq ON freq.window_id = nxt.window_id AND freq.group_id = next_group_id WH
 (SELECT qid, count(*) AS n_blocks, CASE WHEN avg(latency_sec) > 0 THEN floor(sum(latency_sec) / (avg(latency_sec) * 2.0)) + 1 ELSE 1 END AS ask
  FROM (SELECT qid, unnest(cluster_ids) AS cluster_id FROM delivered) e LEFT JOIN (SELECT * FROM costs WHERE isfinite(latency_sec)) c ON c.cluster_id = e.cluster_id GROUP BY qid)""",
 }
+#: The plans of whole windows: the same without the cap.
+SQL |= {f"{n}_whole": SQL[n].replace(f" WHERE rn <= {CAP})", ")") for n in ("schedule_arrival", "group_ends", "prefetch_plan_first", "prefetch_plan_balanced", "cluster_frequency")}

@@ -88,3 +88,31 @@ def test_kmeans(spark):
     g = {r["qid"]: r["group_id"] for r in grouping.kmeans_groups(df, 2, 4, 10).collect()}
     assert len(g) == 100 and set(g.values()) <= {0, 1}
     assert grouping.kmeans_groups(df.limit(0), 2, 4).collect() == []
+
+
+def test_whole_windows(spark, tmp_path, monkeypatch):
+    """Every query of a window larger than the cap is grouped and planned, by blocks as by one matrix."""
+    from skein.plans import workload
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for q in range(330):
+        ids = sorted(int(c) for c in rng.choice(400, int(rng.integers(0, 9)), replace=False)) if q % 3 else [q % 60, q % 60 + 1, q % 7 + 500]
+        rows.append((q, None if q < 20 else 1 if q < 310 else 2, q * 3 % 331, "t", None, ids))
+    df = spark.createDataFrame(rows, "qid bigint, window_id bigint, seq bigint, topic string, ts timestamp, cluster_ids_set array<int>")
+    df.coalesce(1).write.parquet(str(tmp_path / "all_results.parquet"))
+    want = {}
+    for win in (None, 1, 2):
+        own = sorted((r for r in rows if r[1] == win), key=lambda r: r[2])
+        label = grouping.agglomerate(grouping._jaccard_matrix([np.array(r[5], np.int64) for r in own]), workload.LEAST, "single")
+        want |= {r[0]: (win, own[g][2]) for r, g in zip(own, label, strict=True)}
+    for block in (16, 1024):
+        monkeypatch.setattr(grouping, "BLOCK", block)
+        s = workload._scheduled_whole(spark, str(tmp_path)).collect()
+        assert {r["qid"]: (r["window_id"], r["group_id"]) for r in s} == want and len(s) == 330
+    assert 3 < len(set(want.values())) < 330
+    plan = workload.prefetch_plan_first_whole(spark, str(tmp_path)).collect()
+    assert {(r["window_id"], r["group_id"]) for r in plan} == set(want.values())
+    assert workload.schedule_arrival_whole(spark, str(tmp_path)).count() == 330
+    freq = workload.cluster_frequency_whole(spark, str(tmp_path)).toPandas()
+    assert freq["n"].sum() == sum(len(r[5]) for r in rows)
