@@ -45,7 +45,7 @@ def stream_cache(spark: SparkSession, d: str) -> DataFrame:
     """The window_top cache of every topic as a stateful stream."""
     costs = index.measured_costs(table(spark, d, "cluster_stats"), table(spark, d, "centroids")).collect()  # one row a block
     s = _stream(spark, d, "all_results").withColumn("topic", F.lower(F.trim("topic"))).withColumn("cluster_ids", clean_ids("cluster_ids_set"))
-    t = cachestream.stream_trace(s, {r["cluster_id"]: r["latency_sec"] for r in costs}, {r["cluster_id"]: r["size_mb"] for r in costs}, 200, "window_top", "topic", 86400.0)
+    t = cachestream.stream_trace(s, {r["cluster_id"]: r["latency_sec"] for r in costs}, {r["cluster_id"]: r["size_mb"] for r in costs}, 200, "window_top", "topic")
     return _run(spark, t, "append").drop("epoch").withColumnRenamed("key", "topic")
 
 

@@ -136,3 +136,16 @@ def test_stream_groups_equal_batch(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).drop("epoch").collect())
     want = sorted(tuple(r) for r in grouping.schedule(grouping.group_windows(rows, 0.5, "complete")).collect())
     assert got == want
+
+
+def test_stream_cache_windows_are_the_references(spark, tmp_path):
+    """A window of the registered stream ends after 60 seconds, and all but its ten most used blocks leave."""
+    from skein.plans import streams
+
+    d = str(tmp_path)
+    rows = spark.sql("SELECT id AS qid, id AS seq, 'a' AS topic, timestamp_seconds(1700000000 + 35 * id) AS ts, sequence(1, 14) AS cluster_ids_set FROM range(4)")
+    rows.coalesce(1).write.parquet(f"{d}/all_results.parquet")
+    spark.sql("SELECT cast(id AS int) AS cluster_id, 1.0D AS latency_sec, 1.0D AS size_mb FROM range(20)").write.parquet(f"{d}/cluster_stats.parquet")
+    spark.sql("SELECT cast(id AS int) AS cluster_id FROM range(20)").write.parquet(f"{d}/centroids.parquet")
+    got = sorted((r["seq"], r["n_hit"], r["n_miss"], r["n_evicted"]) for r in streams.stream_cache(spark, d).collect())
+    assert got == [(0, 0, 14, 0), (1, 14, 0, 0), (2, 10, 4, 4), (3, 14, 0, 0)]
