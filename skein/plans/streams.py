@@ -54,7 +54,7 @@ def stream_groups(spark: SparkSession, d: str) -> DataFrame:
     s = _stream(spark, d, "all_results").select("window_id", "qid", "seq", clean_ids("cluster_ids_set").alias("cluster_ids"))
     root = os.path.join(shared_dir(spark), "skein", uuid.uuid4().hex)
     windows.run_once(s, groups.group_batches(f"{root}/out", 0.3, "single"), f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/out").drop("epoch")
+    return groups.newest(spark, f"{root}/out")
 
 
 QUERIES = {"stream_groups": stream_groups, "stream_probe_counts": stream_probe_counts, "stream_cache": stream_cache}

@@ -149,3 +149,24 @@ def test_stream_cache_windows_are_the_references(spark, tmp_path):
     spark.sql("SELECT cast(id AS int) AS cluster_id FROM range(20)").write.parquet(f"{d}/centroids.parquet")
     got = sorted((r["seq"], r["n_hit"], r["n_miss"], r["n_evicted"]) for r in streams.stream_cache(spark, d).collect())
     assert got == [(0, 0, 14, 0), (1, 14, 0, 0), (2, 10, 4, 4), (3, 14, 0, 0)]
+
+
+def test_stream_groups_of_windows_split_over_batches(spark, tmp_path):
+    """Windows and redelivered queries spread over batches give the schedule of the whole table."""
+    from skein.operators import grouping
+    from skein.streaming import groups
+
+    rows = spark.sql("SELECT id % 3 AS window_id, id AS qid, id AS seq, array(cast(id % 5 AS int), cast(id % 7 + 9 AS int)) AS cluster_ids FROM range(40)")
+    again = rows.where("qid % 4 = 0").selectExpr("(window_id + 1) % 4 AS window_id", "qid", "seq + 100 * (qid % 8) - 50 AS seq", "cluster_ids")
+    every, src = rows.unionByName(again), str(tmp_path / "in")
+    for k in range(4):
+        every.where(f"(qid + seq) DIV 3 % 4 = {k} OR (seq < 0 AND {k} = 3)").coalesce(1).write.mode("append").parquet(src)
+    windows.run_once(readers.stream_table(spark, src, rows.schema, 1), groups.group_batches(str(tmp_path / "out"), 0.3, "single", 9), str(tmp_path / "c"))
+    got = sorted(tuple(r) for r in groups.newest(spark, str(tmp_path / "out")).collect())
+    first = {}
+    for r in every.collect():
+        if r["qid"] not in first or r["seq"] < first[r["qid"]]["seq"]:
+            first[r["qid"]] = r
+    one = spark.createDataFrame(list(first.values()), rows.schema)
+    want = sorted(tuple(r) for r in grouping.schedule(grouping.group_windows(grouping.cap_window(one, 9), 0.3, "single")).collect())
+    assert got == want and len({r[1] for r in got}) == len(got)
