@@ -134,6 +134,15 @@ def test_groups_are_the_linked_ones(spark, monkeypatch):
     assert all(want[t] == g for g, r in d.items() for t in r["typical"])
 
 
+def test_groups_with_the_production_number_of_tables(spark):
+    rows = sample(7)
+    ids, s = cosines(rows)
+    want = components(ids, s, 0.9)
+    got = {r["id"]: r["group_id"] for r in clusters.vector_groups(table(spark, rows), "id", "vec", DIM, 0.9).collect()}
+    assert set(got) <= set(want) and all(want[g] == want[v] for v, g in got.items())
+    assert sum(got.get(v) == g for v, g in want.items()) >= 0.9 * len(want)
+
+
 def naive_average(links, least):
     """Merge the best pair of clusters again and again; missing links count 0."""
     parts = [[v] for v in sorted({x for a, b, _ in links for x in (a, b)})]
