@@ -31,7 +31,8 @@ from skein.runtime import BROADCAST_ROWS, materialize, small_or_none, width
 TARGET = 16_384
 #: Tables at the coarsest level.
 TABLES = 3
-#: A vector goes to its second-best bucket too if the two axes differ by less than GAP / sqrt(dim).
+#: A vector goes to its second-best bucket too if the two axes differ by less than GAP / sqrt(dim), else
+#: across its smallest refining coordinate if that one is less than GAP / sqrt(dim).
 GAP = 0.25
 #: Rows of one side of a block of products.
 BLOCK = 1024
@@ -83,11 +84,17 @@ class Hash:
             second = a.argmax(axis=1)
             near = top - a[r, second] < GAP / np.sqrt(self.padded)
             sub = np.zeros(len(unit), np.int64)
+            fine = unit @ self.fine[t]
             for k in range(self.levels):
-                sub = sub * 2 + ((unit @ self.fine[t][:, k]) < 0)
+                sub = sub * 2 + (fine[:, k] < 0)
             for c, axis in enumerate((first, second)):
                 out[:, 2 * t + c] = t * self.buckets + (((axis * 2 + (y[r, axis] < 0)) << self.levels) | sub)
             out[~near, 2 * t + 1] = -1
+            if self.levels:
+                close = np.abs(fine)
+                k = close.argmin(axis=1)
+                across = ~near & (close[r, k] < GAP / np.sqrt(self.padded))
+                out[across, 2 * t + 1] = t * self.buckets + ((out[:, 2 * t] - t * self.buckets) ^ (1 << (self.levels - 1 - k)))[across]
         return out
 
 

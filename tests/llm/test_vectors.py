@@ -195,3 +195,18 @@ def test_hadamard_and_hash():
     assert h.levels > 0 and h.tables == vectors.TABLES + h.levels
     p = h.probes(vectors.unit(np.random.default_rng(0).normal(size=(50, DIM)).astype(np.float32)))
     assert p.shape == (50, 2 * h.tables) and p.max() < h.tables * h.buckets and (p[:, 0] != p[:, 1]).all() and (p[:, ::2] >= 0).all()
+
+
+@pytest.mark.parametrize("cosine", [0.85, 0.92])
+def test_recall_does_not_fall_with_the_number_of_rows(cosine):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(2, 10_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    met = []
+    for rows in (250_000, 4_000_000, 32_000_000):
+        h = vectors.Hash(64, rows)
+        p, q = h.probes(vectors.unit(a)), h.probes(vectors.unit(b))
+        met.append((h.levels, ((p[:, :, None] == q[:, None]) & (p >= 0)[:, :, None]).any(axis=(1, 2)).mean()))
+    assert [x for x, _ in met] == [0, 2, 5] and min(r for _, r in met[1:]) >= met[0][1]
