@@ -162,3 +162,36 @@ def test_pages_over_a_table(spark):
     assert got == {*range(len(BAD)), len(texts) - 1}
     m = spampages.measures(docs(spark, texts)).collect()
     assert len(m) == len(texts) and all(0 <= r["flagged_share"] <= 1 for r in m)
+
+VERSE = """The lamp is low, the kettle sings,
+a slow rain taps the garden wall
+while somewhere past the railway things
+we never mended start to call
+and nobody remembers now
+who left the ladder in the hall"""
+PLAIN = "we moved here late in the autumn and the old boiler gave up within a week so my neighbour lent us two heaters and a pile of blankets which kept the children warm while I phoned around for someone who could look at the pipes before the frost came back and made everything worse than it already was"
+
+
+def test_verse_and_prose_without_stops_are_no_spam(spark):
+    texts = [VERSE, PLAIN, PLAIN.upper(), *BAD.values()]
+    for t in texts[:2]:
+        assert spampages.Judge().measure(t)[0] <= 0.5
+    if os.path.isdir("/root/testdata/sf0.01"):  # judged by the baselines of a corpus
+        corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+        more = spark.createDataFrame([(-1 - i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+        m = {r["doc_id"]: r for r in spampages.measures(corpus.unionAll(more)).where("doc_id < 0").collect()}
+        assert all(m[-1 - i]["outside_share"] > 0.5 and m[-1 - i]["flagged_share"] == 0 for i in range(3))
+        assert all(m[-4 - i]["flagged_share"] > 0.5 for i in range(len(BAD)))
+
+
+def test_sentences_repeated_are_no_spam_and_stops_do_not_hide_keywords():
+    said = "My sister carried the lamp upstairs. "
+    assert spampages.Judge().measure(said * 2 + GOOD["en"] * 2)[0] <= 0.5
+    assert spampages.Judge().measure("Lampe kaufen Lampe. Lampe und Lampe mit Lampe. Lampe billig und Lampe. " * 6)[0] > 0.5
+
+
+def test_baselines_by_language_and_writing_system(spark):
+    texts = [(i, g, lang) for i, (lang, g) in enumerate(list(GOOD.items()) * 40)] + [(1000, GOOD["ru"], "en"), (1001, GOOD["en"], None)]
+    base = spampages.baselines(spampages.materialize(spampages.read(spark.createDataFrame(texts, "doc_id bigint, text string, lang string")), "b"))
+    kinds = {(s, g) for s, g, _ in base}
+    assert {("latin", "en"), ("latin", "de"), ("cyrillic", "ru"), ("latin", ""), ("cjk", "ja")} <= kinds and ("cyrillic", "en") not in kinds
