@@ -20,7 +20,7 @@ the smallest id takes part and classes expand at the end.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from itertools import chain
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from skein.runtime import BROADCAST_ROWS, materialize, small_or_none, width
 
-#: Distinct items up to which they are ranked by frequency (16 bytes each, broadcast); beyond, by a bijective hash.
+#: The most frequent items, ranked by frequency (16 bytes each, broadcast); all others are rarer and come before them by value.
 RANKED = 1_000_000
 #: Largest rank coded by gaps of a byte.
 GAPS = 20_000
@@ -363,23 +363,30 @@ def _tally(keys: np.ndarray, counts: np.ndarray, flats: list[np.ndarray]) -> tup
 
 def class_pairs(rec: Records, threshold: float | str) -> DataFrame:
     """Rows (a, b, size_a, size_b, overlap), a < b, of all pairs of classes with a Jaccard similarity from `threshold` on."""
+    shipped, cells, meet, cut = cells_of(rec, threshold)
+    met = shipped.repartitionById(cells, "cell").sortWithinPartitions("cell").mapInArrow(meet, "a bigint, b bigint, size_a bigint, size_b bigint, overlap bigint")
+    return met.distinct() if cut else met.dropDuplicates(["a", "b"])
+
+
+def cells_of(rec: Records, threshold: float | str) -> tuple[DataFrame, int, Callable, bool]:
+    """What class_pairs() sends to its cells, their number, the function that merges the lists of a cell, and whether lists were cut."""
     bounds = Bounds(threshold)
     spark = rec.spark
     depth = 2 if bounds.least(rec.least) >= 2 else 1
-    ranked = small_or_none(rec.items, RANKED)
+    every = small_or_none(rec.items, RANKED)
     parts = max(width(spark), rec.entries * 9 // PART, 1)
-    table = groups = None
-    top = 0
-    if ranked:
-        freq = rec.items.toArrow()  # at most RANKED rows
-        items, n = freq.column("item").to_numpy(), freq.column("n").to_numpy()
-        order = np.lexsort((items, n))
-        rank = np.empty(len(items), np.int64)
-        rank[order] = np.arange(len(items))
-        by = np.argsort(items)
-        table = (items[by], rank[by])
-        top = len(items)
-    heavy = [] if not ranked else np.flatnonzero(n > LIST)
+    groups = {}
+    freq = (rec.items if every else rec.items.orderBy(F.desc("n"), "item").limit(RANKED)).toArrow()  # at most RANKED rows
+    items, n = freq.column("item").to_numpy(), freq.column("n").to_numpy()
+    order = np.lexsort((items, n))
+    rank = np.empty(len(items), np.int64)
+    rank[order] = np.arange(len(items))
+    by = np.argsort(items)
+    table = (items[by], rank[by])
+    top = len(items) if every else 0  # 0: ranks below 0 occur
+    heavy = np.sort(rank[n > LIST])
+    #: whether an item without a rank can be in more than LIST records
+    any_heavy = not every and int(n.min(initial=0)) > LIST
     known = None
     raw = rec.raw
     if rec.has_copies:  # all but the first of each class stay out
@@ -392,9 +399,14 @@ def class_pairs(rec: Records, threshold: float | str) -> DataFrame:
     size = rec.size
 
     def ranks(flat: np.ndarray, table) -> np.ndarray:
-        if table is None:
-            return _mix(flat).view(np.int64)  # a bijection, so no two items share a rank
-        return table[1][np.searchsorted(table[0], flat)]
+        at = np.minimum(np.searchsorted(table[0], flat), max(0, len(table[0]) - 1))
+        if every:
+            return table[1][at]
+        return np.where(table[0][at] == flat, table[1][at], flat + np.iinfo(np.int64).min)  # no two items share a rank
+
+    def place(r: np.ndarray) -> np.ndarray:
+        """Cell of a rank: frequent items in turn, others by a hash."""
+        return np.where(r < 0, (_mix(r) >> np.uint64(1)).astype(np.int64), r) % parts
 
     def ordered(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         table, known = send.value
@@ -420,19 +432,27 @@ def class_pairs(rec: Records, threshold: float | str) -> DataFrame:
         short = place < np.repeat(lens - bounds.least(lens) + 1, lens)
         return row[short], flat[short]
 
-    if len(heavy):
+    if len(heavy) or any_heavy:
         # how many records have the frequent items among their short lists
         def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            acc = np.zeros(top, np.int64)
+            keys, counts, flats, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
             for b in batches:
                 _, lens, flat = ordered(b)
-                acc += np.bincount(prefix(lens, flat)[1], minlength=top)
-            at = np.flatnonzero(acc)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(acc[at])], names=["rank", "n"])
+                r = prefix(lens, flat)[1]
+                r = r if any_heavy else r[np.isin(r, heavy)]
+                flats.append(r)
+                held += len(r)
+                if held > 1_000_000:
+                    keys, counts, flats, held = *_tally(keys, counts, flats), [], 0
+                if len(keys) > 2 * RANKED:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["rank", "n"])
+                    keys, counts = keys[:0], counts[:0]
+            if flats:
+                keys, counts = _tally(keys, counts, flats)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["rank", "n"])
 
-        loads = raw.mapInArrow(load, "rank bigint, n bigint").groupBy("rank").agg(F.sum("n").alias("n")).where(F.col("n") > LIST).collect()
+        loads = raw.mapInArrow(load, "rank bigint, n bigint").groupBy("rank").agg(F.sum("n").alias("n")).where(F.col("n") > LIST).collect()  # at most entries / LIST rows
         groups = {r["rank"]: -(-r["n"] // LIST) for r in loads}
-    groups = groups or {}
     heavy_ranks = np.array(sorted(groups), np.int64)
     cells = parts
     where = {}
@@ -448,7 +468,7 @@ def class_pairs(rec: Records, threshold: float | str) -> DataFrame:
             start = np.cumsum(lens) - lens
             row, rank = prefix(lens, flat)
             light = ~np.isin(rank, heavy_ranks)
-            to = np.unique((rank[light] % parts) * len(ids) + row[light])
+            to = np.unique(place(rank[light]) * len(ids) + row[light])
             sent = [(int(c), 3, to[to // len(ids) == c] % len(ids)) for c in np.unique(to // len(ids))]
             for r in np.unique(rank[~light]):
                 g, base = groups[int(r)], where[int(r)]
@@ -483,7 +503,7 @@ def class_pairs(rec: Records, threshold: float | str) -> DataFrame:
                 flat = flat[_runs((np.cumsum(lens) - lens)[keep], lens[keep])]
                 ids, lens, role = ids[keep], lens[keep], role[keep]
             if cell < parts:
-                mine = lambda r: (r % parts == cell) & ~np.isin(r, heavy_ranks)
+                mine = lambda r: (place(r) == cell) & ~np.isin(r, heavy_ranks)
             else:
                 one = max((r for r in where if where[r] <= cell), key=lambda r: where[r])
                 mine = lambda r: r == one
@@ -511,8 +531,7 @@ def class_pairs(rec: Records, threshold: float | str) -> DataFrame:
             yield from flush(now, got)
 
     shipped = raw.mapInArrow(ship, "cell int, role tinyint, ids binary, lens binary, wide tinyint, items binary")
-    met = shipped.repartitionById(cells, "cell").sortWithinPartitions("cell").mapInArrow(meet, "a bigint, b bigint, size_a bigint, size_b bigint, overlap bigint")
-    return met.distinct() if groups else met.dropDuplicates(["a", "b"])
+    return shipped, cells, meet, bool(groups)
 
 
 def similar_records(df: DataFrame, id_col: str, set_col: str, threshold: float | str, least: int = 1) -> DataFrame:

@@ -32,8 +32,8 @@ def sample(seed, n=400, universe=60):
     return rows
 
 
-def table(spark, rows):
-    return spark.createDataFrame([(i, s, 1, "x") for i, s in rows], "qid bigint, items array<int>, id int, ids string").repartition(3)
+def table(spark, rows, kind="int"):
+    return spark.createDataFrame([(i, s, 1, "x") for i, s in rows], f"qid bigint, items array<{kind}>, id int, ids string").repartition(3)
 
 
 @pytest.mark.parametrize("threshold,least", [(0.7, 5), (0.5, 1), (0.8, 2), (1, 1), ("1/3", 1)])
@@ -57,6 +57,31 @@ def test_cut_lists_and_hashed_ranks(spark, monkeypatch):
     assert {(r["a"], r["b"]) for r in setjoin.similar_records(table(spark, rows), "qid", "items", 0.7, 5).collect()} == want
 
 
+def test_many_items_and_one_in_half_of_the_records(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "RANKED", 50)
+    monkeypatch.setattr(setjoin, "LIST", 40)
+    rng = np.random.default_rng(3)
+    rows, big = [], 1 << 40
+    for i in range(600):
+        own = set(rng.integers(big, big + 4000, 4).tolist()) if i % 3 or not rows else set(rows[int(rng.integers(len(rows)))][1]) - {5}
+        rows.append((i, sorted(own | ({5} if i % 2 else set()) | ({int(rng.integers(big, big + 4000))} if i % 5 == 0 else set()))))
+    rows.append((600, [2**63 - 1, 2**63 - 2, 0, 5]))
+    rows.append((601, [2**63 - 1, 2**63 - 2, 0, 6, 5]))
+    rec = setjoin.Records(table(spark, rows, "bigint"), "qid", "items", 2)
+    assert not setjoin.small_or_none(rec.items, setjoin.RANKED)
+    spark.conf.set("spark.sql.shuffle.partitions", 32)  # cells
+    shipped, cells, _, cut = setjoin.cells_of(rec, 0.5)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    most = shipped.selectExpr("cell", "length(ids) / 8 AS n").groupBy("cell").agg({"n": "sum"}).toPandas().iloc[:, 1].max()
+    assert most <= 0.2 * len(rows)  # neither the frequent item's list nor that of the rest is one cell
+    want = brute(rows, 0.5, 2)
+    assert {(r["a"], r["b"]) for r in setjoin.similar_records(table(spark, rows, "bigint"), "qid", "items", 0.5, 2).collect()} == want
+    monkeypatch.setattr(setjoin, "LIST", 1)  # every list is cut, those of items without a rank too
+    rec = setjoin.Records(table(spark, rows[:150], "bigint"), "qid", "items", 2)
+    assert setjoin.cells_of(rec, 0.5)[3]
+    assert {(r["a"], r["b"]) for r in setjoin.similar_records(table(spark, rows[:150], "bigint"), "qid", "items", 0.5, 2).collect()} == brute(rows[:150], 0.5, 2)
+
+
 def test_long_records(spark, monkeypatch):
     rows = sample(5)
     want = brute(rows, 0.7, 5)
