@@ -1,22 +1,22 @@
 """Grouping records into similarity clusters (problem 1).
 
-Reciprocal-nearest-neighbour linkage on a sparse graph. The links are pairs of
+Reciprocal-nearest-neighbour average linkage on a sparse graph. The links are pairs of
 vectors at or above the threshold, found by the hashing of skein.llm.vectors. Every round all
-pairs of clusters that are each other's best merge at once; the links between two
-clusters become one link with their sum and number. It ends when no link is left
-at the threshold. Two readings of the average:
+pairs of clusters that are each other's best merge at once, if their average is at the threshold;
+the links between two clusters become one link with their sum and number. It ends when no
+link is left at the threshold. Two readings of the average:
 
-- "linked": the mean of the links there are. It never falls below the threshold,
-  so everything linked directly or through others ends in one cluster. This is
+- "linked": the mean of the links there are, so that chains stay together: this is
   the grouping that p1_found defines. The best links of every vector and enough to
-  connect whatever is connected give the same groups as all links.
+  connect whatever is connected give the same groups as all links, so no group's pairs are all made.
 - "all": missing links count as 0, the usual average linkage on a sparse graph.
   Every met link takes part, and a class of exact copies weighs as many as it has.
 
-No merge crosses a connected component. So components, found first, are the unit
-of distribution: a task takes the links of many components and runs the rounds on
-arrays; a component of more than LOCAL links runs its rounds as joins and
-aggregates over the cluster, by the same rule and with the same result.
+While there are more than LOCAL links, a round is one aggregate for the best of every cluster, one for
+the mutual pairs and one for the new links, over the whole cluster, and each round's merges and links are written
+tables; links shrink by a constant factor. What is left, at most LOCAL links, ends in one task on
+arrays, by the same rule. Where links leave no pair but one mutual in each round (the arms
+of a star), ROUNDS bounds the rounds of "linked": what is still linked then is joined at once.
 """
 
 from __future__ import annotations
@@ -31,8 +31,12 @@ from pyspark.sql import functions as F
 from skein.llm.vectors import Collection, unit, usable
 from skein.runtime import join_checked, materialize, small_or_none
 
-#: Links of a component up to which one task runs its rounds.
+#: Links up to which one task runs the rounds.
 LOCAL = 500_000
+#: Rounds of "linked" over the cluster and, again, in a task, after which all that is linked is joined.
+ROUNDS = 60
+#: A mean of links at the threshold can miss it by rounding.
+SLACK = 1e-12
 #: Links kept for every vector besides those that connect, where links there are decide ("linked").
 LINKS = 8
 
@@ -54,28 +58,29 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link_rounds(a: np.ndarray, b: np.ndarray, s: np.ndarray, least: float, linkage: str, na: np.ndarray | None = None, nb: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+def link_rounds(a: np.ndarray, b: np.ndarray, s: np.ndarray, least: float, linkage: str, na: np.ndarray | None = None, nb: np.ndarray | None = None, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Clusters of the ends of links: (ids, cluster of each, rounds). A cluster's name is its smallest id.
 
-    na, nb: equal vectors that each end stands for (1 without).
+    na, nb: equal vectors that each end stands for (1 without). s: similarities; with w, sums over w links.
     """
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     n = len(ids)
     x, y = at[: len(a)], at[len(a) :]
-    w = np.ones(len(x))
     size = np.ones(n)
     if na is not None:
         size[x], size[y] = na, nb
+    if w is None:
         w = size[x] * size[y]
         s = s * w
     x, y = np.minimum(x, y), np.maximum(x, y)
     where = np.arange(n)
     rounds = 0
     while len(x):
+        if linkage == "linked" and rounds == ROUNDS:
+            where = _joined(x, y, n)[where]
+            break
         mean = s / (w if linkage == "linked" else size[x] * size[y])
-        ok = mean >= least
-        if linkage == "linked":
-            ok[:] = True  # a mean of links at the threshold can only miss it by rounding
+        ok = mean >= least - SLACK
         order = np.lexsort((y[ok], x[ok], -mean[ok]))
         live = np.flatnonzero(ok)[order]
         if not len(live):
@@ -102,59 +107,79 @@ def link_rounds(a: np.ndarray, b: np.ndarray, s: np.ndarray, least: float, linka
     return ids, ids[where], rounds
 
 
-def _rounds_over_cluster(links: DataFrame, least: float, linkage: str) -> DataFrame:
-    """link_rounds() by joins and aggregates; links: (a, b, sim) or (a, b, sim, na, nb) of oversized components, a < b."""
-    ends = links.select(F.col("a").alias("v")).union(links.select("b")).distinct()
-    assign = materialize(ends.select("v", F.col("v").alias("c")), "assign")
-    nx, ny = (F.col(c).cast("double") if c in links.columns else F.lit(1.0) for c in ("na", "nb"))
-    edges = materialize(links.select(F.col("a").alias("x"), F.col("b").alias("y"), (F.col("sim") * nx * ny).alias("s"), (nx * ny).alias("w"), nx.alias("nx"), ny.alias("ny")), "edges")
-    mean = F.col("s") / (F.col("w") if linkage == "linked" else F.col("nx") * F.col("ny"))
+def _joined(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Smallest node that each of n nodes is joined with by the links x, y."""
+    label = np.arange(n)
     while True:
-        live = edges.withColumn("m", mean)
-        live = live if linkage == "linked" else live.where(F.col("m") >= least)
-        rank = F.struct("m", (-F.col("x")).alias("i"), (-F.col("y")).alias("j"))
-        one = live.select(F.col("x").alias("c"), F.col("y").alias("o"), (F.col("nx") + F.col("ny")).alias("size"), rank.alias("r"))
-        two = live.select(F.col("y").alias("c"), F.col("x").alias("o"), (F.col("nx") + F.col("ny")).alias("size"), rank.alias("r"))
-        best = one.unionAll(two).groupBy("c").agg(F.max(F.struct("r", "o", "size")).alias("b")).select("c", "b.o", "b.size")
-        merges = materialize(best.alias("p").join(best.alias("q"), (F.col("p.c") == F.col("q.o")) & (F.col("p.o") == F.col("q.c")) & (F.col("p.c") < F.col("p.o"))).select(F.col("p.c").alias("lo"), F.col("p.o").alias("hi"), F.col("p.size").alias("size")), "merges")
-        if merges.limit(1).count() == 0:
-            return assign.select("v", "c")
-        new = merges.select(F.col("lo").alias("was"), F.col("lo").alias("now"), "size").unionAll(merges.select("hi", "lo", "size"))
-        for end, n in (("x", "nx"), ("y", "ny")):
-            side = new.select(F.col("was").alias(end), F.col("now"), F.col("size"))
-            edges = edges.join(side, end, "left").select(*[c for c in ("x", "y", "s", "w", "nx", "ny") if c not in (end, n)], F.coalesce("now", end).alias(end), F.coalesce("size", n).alias(n))
-        flip = F.col("x") > F.col("y")
-        edges = edges.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "s", "w", F.when(flip, F.col("ny")).otherwise(F.col("nx")).alias("nx"), F.when(flip, F.col("nx")).otherwise(F.col("ny")).alias("ny"))
-        edges = materialize(edges.groupBy("x", "y", "nx", "ny").agg(F.sum("s").alias("s"), F.sum("w").alias("w")).select("x", "y", "s", "w", "nx", "ny"), "edges")
-        assign = materialize(assign.join(merges.select(F.col("hi").alias("c"), "lo"), "c", "left").select("v", F.coalesce("lo", "c").alias("c")), "assign")
+        m = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, m)
+        np.minimum.at(new, y, m)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _round(edges: DataFrame, least: float, linkage: str) -> DataFrame:
+    """The merges (lo, hi, size) of one round, a written table. edges: (x, y, s, w, nx, ny), x < y."""
+    mean = F.col("s") / (F.col("w") if linkage == "linked" else F.col("nx") * F.col("ny"))
+    live = edges.withColumn("m", mean).where(F.col("m") >= least - SLACK)
+    rank = F.struct("m", (-F.col("x")).alias("i"), (-F.col("y")).alias("j"))
+    ends = F.explode(F.array(F.struct(F.col("x").alias("c"), F.col("y").alias("o")), F.struct(F.col("y").alias("c"), F.col("x").alias("o"))))
+    best = live.select(ends.alias("e"), rank.alias("r"), (F.col("nx") + F.col("ny")).alias("size")).groupBy("e.c").agg(F.max(F.struct("r", "e.o", "size")).alias("b"))
+    pairs = best.select(F.least("c", "b.o").alias("lo"), F.greatest("c", "b.o").alias("hi"), "b.size").groupBy("lo", "hi").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    return materialize(pairs.where("n = 2").select("lo", "hi", "size"), "merges")
+
+
+def _contract(edges: DataFrame, merges: DataFrame) -> DataFrame:
+    """The links after a round, a written table."""
+    new = materialize(merges.select(F.col("lo").alias("was"), F.col("lo").alias("now"), "size").unionAll(merges.select("hi", "lo", "size")), "renamed")
+    for end, n in (("x", "nx"), ("y", "ny")):
+        joined = join_checked(edges, new.withColumnRenamed("was", end), [end], "left")
+        edges = joined.select(*[c for c in ("x", "y", "s", "w", "nx", "ny") if c not in (end, n)], F.coalesce("now", end).alias(end), F.coalesce("size", n).alias(n))
+    flip = F.col("x") > F.col("y")
+    edges = edges.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "s", "w", F.when(flip, F.col("ny")).otherwise(F.col("nx")).alias("nx"), F.when(flip, F.col("nx")).otherwise(F.col("ny")).alias("ny"))
+    return materialize(edges.groupBy("x", "y", "nx", "ny").agg(F.sum("s").alias("s"), F.sum("w").alias("w")).select("x", "y", "s", "w", "nx", "ny"), "edges")
 
 
 def linked_clusters(links: DataFrame, least: float, linkage: str = "linked", local: int = LOCAL) -> DataFrame:
     """Rows (v, c) of the ends of links (a, b, sim), a < b, each pair once; c is the cluster's smallest id.
 
-    With columns na and nb each end stands for so many equal vectors.
+    links is a written table. With columns na and nb each end stands for so many equal vectors.
     """
-    cols = [c for c in ("a", "b", "sim", "na", "nb") if c in links.columns]
-    labels = components(links)
-    named = links.join(labels.select(F.col("v").alias("a"), "label"), "a")
-    named = materialize(named, "named")
-    big = named.groupBy("label").count().where(F.col("count") > local).select("label")
-    big = materialize(big, "big")
+    nx, ny = (F.col(c).cast("double") if c in links.columns else F.lit(1.0) for c in ("na", "nb"))
+    edges = links.select(F.col("a").alias("x"), F.col("b").alias("y"), (F.col("sim") * nx * ny).alias("s"), (nx * ny).alias("w"), nx.alias("nx"), ny.alias("ny"))
+    merged: list[DataFrame] = []
+    last = None  # (hi, c) of what the rounds left, where no task ends them
+    while not small_or_none(edges, local):
+        if linkage == "linked" and len(merged) == ROUNDS:
+            last = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("v").alias("hi"), F.col("label").alias("c"))
+            break
+        merges = _round(edges, least, linkage)
+        if merges.limit(1).count() == 0:
+            last = merges.select("hi", F.col("lo").alias("c"))
+            break
+        merged.append(merges)
+        edges = _contract(edges, merges)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[np.asarray(b.column(c)) for c in range(len(cols))] for b in batches]
+        parts = [[np.asarray(b.column(c)) for c in range(6)] for b in batches]
         if parts:
-            a, b, s, *n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            ids, c, _ = link_rounds(a, b, s, least, linkage, *n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(c)], names=["v", "c"])
-
-    if big.limit(1).count() == 0:
-        small, huge = named, None
-    else:
-        small = join_checked(named, big, ["label"], "left_anti")
-        huge = join_checked(named, big, ["label"], "left_semi")
-    out = small.repartition("label").select(*cols).mapInArrow(f, "v bigint, c bigint")
-    return out if huge is None else out.unionByName(_rounds_over_cluster(huge.select(*cols), least, linkage))
+            x, y, s, w, nx, ny = (np.concatenate(v) for v in zip(*parts, strict=True))
+            ids, c, _ = link_rounds(x, y, s, least, linkage, nx, ny, w)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(c)], names=["hi", "c"])
+
+    if last is None:  # at most `local` links
+        last = edges.repartition(1).select("x", "y", "s", "w", "nx", "ny").mapInArrow(f, "hi bigint, c bigint")
+    if not merged:
+        return last.select(F.col("hi").alias("v"), "c")
+    last = materialize(last, "ended")
+    for merges in reversed(merged):  # what was merged in a round went where its cluster went later
+        went = merges.select("hi", F.col("lo")).join(last.withColumnRenamed("hi", "lo"), "lo", "left").select("hi", F.coalesce("c", "lo").alias("c"))
+        last = materialize(last.unionAll(went), "ended")
+    ends = links.select(F.col("a").alias("hi")).unionAll(links.select("b")).distinct()
+    return ends.join(last, "hi", "left").select(F.col("hi").alias("v"), F.coalesce("c", "hi").alias("c"))
 
 
 def vector_groups(df: DataFrame, id_col: str, vec_col: str, dim: int, least: float, linkage: str = "linked", local: int = LOCAL) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import numpy as np
 import pytest
 
@@ -187,6 +188,74 @@ def test_average_over_all_links_of_large_groups(spark, monkeypatch):
         assert got == want and max(list(want.values()).count(g) for g in want.values()) > 30
 
 
+@pytest.mark.parametrize("local", [clusters.LOCAL, 2])
+def test_star_and_chain_are_one_group(spark, monkeypatch, local):
+    """A star merges one arm a round: beyond ROUNDS the rest is joined at once."""
+    monkeypatch.setattr(clusters, "ROUNDS", 3)
+    links = [(0, k, 0.95 + k / 1000) for k in range(1, 13)] + [(k, k + 1, 0.93) for k in range(100, 112)] + [(200, 201, 0.99)]
+    df = clusters.materialize(spark.createDataFrame(links, "a bigint, b bigint, sim double"), "links")
+    got = {r["v"]: r["c"] for r in clusters.linked_clusters(df, 0.92, "linked", local).collect()}
+    assert got == {**{k: 0 for k in range(13)}, **{k: 100 for k in range(100, 113)}, 200: 200, 201: 200}
+    assert {r["v"]: r["label"] for r in clusters.components(df).collect()} == got
+
+
+def test_the_threshold_stops_merges():
+    a, b, s = np.array([1, 1, 2, 3]), np.array([2, 3, 3, 4]), np.array([0.95, 0.93, 0.92, 0.5])
+    for linkage, want in (("linked", {1: 1, 2: 1, 3: 1, 4: 4}), ("all", {1: 1, 2: 1, 3: 1, 4: 4})):
+        ids, c, _ = clusters.link_rounds(a, b, s, 0.9, linkage)
+        assert dict(zip(ids.tolist(), c.tolist(), strict=True)) == want
+    ids, c, _ = clusters.link_rounds(a[:2], b[:2], s[:2], 0.9, "all")  # 2 and 3 aren't linked
+    assert c.tolist() == [1, 1, 3]
+
+
+def test_sixty_mutual_neighbours_are_one_group(spark):
+    rng = np.random.default_rng(8)
+    c = rng.normal(size=DIM)
+    rows = [(k, [float(x) for x in c / np.linalg.norm(c) + rng.normal(0, 0.01, DIM)]) for k in range(60)]
+    for linkage in ("linked", "all"):
+        for local in (clusters.LOCAL, 50):
+            g = clusters.vector_groups(table(spark, rows), "id", "vec", DIM, 0.92, linkage, local).collect()
+            assert len(g) == 60 and {r["group_id"] for r in g} == {0}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_average_over_a_whole_table(spark):
+    """Average linkage, one merge at a time, over the exact links of every usable vector."""
+    cache = spark.read.parquet("/root/testdata/sf0.01/cluster_cache.parquet")
+    rows = {r["vec_id"]: r["embeddings"] for r in cache.collect() if r["vec_id"] is not None and r["embeddings"] is not None}
+    rows = {k: v for k, v in rows.items() if len(v) == 64 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    ids = sorted(rows)
+    x = np.array([rows[i] for i in ids], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    links = [(ids[a], ids[b], float(s[a, b])) for a, b in zip(*np.nonzero(np.triu(s >= 0.92, 1)), strict=True)]
+    part = components_of(links)
+    want = {}
+    for root in set(part.values()):
+        want |= naive_average([q for q in links if part[q[0]] == root], 0.92)
+    want = {v: g for v, g in want.items() if list(want.values()).count(g) > 1}
+    got = {r["id"]: r["group_id"] for r in clusters.vector_groups(cache, "vec_id", "embeddings", 64, 0.92, "all").collect()}
+    same = sum(got.get(v) == g for v, g in want.items())
+    assert len(want) > 200 and same >= 0.98 * len(want) and len(got) <= len(want) + 2  # a link that hashing misses counts as 0
+    linked = {r["id"]: r["group_id"] for r in clusters.vector_groups(cache, "vec_id", "embeddings", 64, 0.92).collect()}
+    exact = {v: g for v, g in part.items()}
+    assert sum(linked.get(v) == g for v, g in exact.items()) >= 0.99 * len(exact)
+
+
+def components_of(links):
+    part = {}
+    for a, b, _ in links:
+        part.setdefault(a, a), part.setdefault(b, b)
+    for _ in part:
+        new = dict(part)
+        for a, b, _ in links:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == part:
+            return part
+        part = new
+    return part
+
+
 def test_hadamard_and_hash():
     x = np.eye(8)
     h = vectors.hadamard(x)
