@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.vectors import usable
-from skein.runtime import join_checked
+from skein.runtime import join_checked, width
 
 DIM = 64
 #: Bytes of an element in a block's file.
@@ -63,6 +63,29 @@ def adaptive_threads(total_latency: Column, avg_latency: Column, missing: Column
     return F.greatest(F.lit(1), F.least(m, F.lit(cores), F.least(m, ask), F.lit(int(memory_mb / (0.5 * block_mb)))))
 
 
+#: Blocks of one directory of a written index, and bytes of vectors of a file.
+SPAN, FILE = 64, 64 << 20
+
+
+def write_index(vectors: DataFrame, path: str, dim: int = DIM) -> None:
+    """The corpus as Parquet in the order of its blocks, SPAN blocks a directory (column `shard` = cluster_id div SPAN).
+
+    vectors is a written table. Files hold about FILE bytes, so a block of a tenth of all rows lies in several files and a file of small
+    blocks is read by row groups; the number of files follows the bytes, that of directories the blocks.
+    """
+    parts = max(1, min(width(vectors.sparkSession), vectors.count() * dim * ELEMENT // (1 << 20)), vectors.count() * dim * ELEMENT // FILE)
+    placed = vectors.withColumn("shard", F.floor(F.col("cluster_id") / SPAN).cast("int")).repartitionByRange(parts, "cluster_id", "vec_id")
+    placed.sortWithinPartitions("shard", "cluster_id", "vec_id").write.partitionBy("shard").parquet(path)
+
+
+def probed(vectors: DataFrame, ids: list[int]) -> DataFrame:
+    """The vectors of some blocks. Of a written index only their directories are listed and their row groups read."""
+    ids = sorted({int(i) for i in ids})
+    if "shard" in vectors.columns:
+        vectors = vectors.where(F.col("shard").isin(sorted({i // SPAN for i in ids})))
+    return vectors.where(F.col("cluster_id").isin(ids))
+
+
 def write_partitioned(vectors: DataFrame, path: str) -> None:
     """The corpus as Parquet with one directory per block: a filter on cluster_id then reads only those.
 

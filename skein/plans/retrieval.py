@@ -2,7 +2,8 @@
 
 Corpus: the usable vectors of cluster_cache. Queries: all_results, whose query_vec_id names
 the vector; each vector that some query names is probed once. Searches take the
-vectors with an id divisible by 100 against the whole corpus.
+vectors with an id divisible by 100 against the whole corpus. The searches of probed blocks run over the written
+index, which is built once for a session and its tables; flat_topk needs none.
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import index, search
-from skein.runtime import materialize, table
+from skein.runtime import kept, materialize, table
 
 NPROBE, K, DIM = 24, 10, 64
 
 
-def _corpus(spark: SparkSession, d: str) -> DataFrame:
+def corpus_of(spark: SparkSession, d: str) -> DataFrame:
     return index.corpus(table(spark, d, "cluster_cache"), DIM)
 
 
@@ -26,7 +27,7 @@ def _asked(spark: SparkSession, d: str, corpus: DataFrame) -> DataFrame:
     return corpus.join(ids, "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
 
 
-def _sample(corpus: DataFrame) -> DataFrame:
+def sample(corpus: DataFrame) -> DataFrame:
     return corpus.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
 
 
@@ -39,7 +40,7 @@ def _out(df: DataFrame) -> DataFrame:
 
 
 def cluster_profile(spark: SparkSession, d: str) -> DataFrame:
-    p = index.profile(_corpus(spark, d), DIM)
+    p = index.profile(corpus_of(spark, d), DIM)
     return p.withColumn("size_mb", F.round("size_mb", 6))
 
 
@@ -49,39 +50,59 @@ def cluster_costs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coarse_probe(spark: SparkSession, d: str) -> DataFrame:
-    return _out(_probes(spark, d, _asked(spark, d, _corpus(spark, d)))).withColumnRenamed("qid", "vec_id")
+    return _out(_probes(spark, d, _asked(spark, d, corpus_of(spark, d)))).withColumnRenamed("qid", "vec_id")
 
 
 def probe_sets(spark: SparkSession, d: str) -> DataFrame:
-    return search.probe_sets(_probes(spark, d, _asked(spark, d, _corpus(spark, d)))).withColumnRenamed("qid", "vec_id")
+    return search.probe_sets(_probes(spark, d, _asked(spark, d, corpus_of(spark, d)))).withColumnRenamed("qid", "vec_id")
+
+
+def index_of(spark: SparkSession, d: str) -> DataFrame:
+    """The written index over the corpus (vec_id, cluster_id, embedding, shard)."""
+    cache = table(spark, d, "cluster_cache")
+    return kept(cache, f"index {d}", lambda path: index.write_index(materialize(index.corpus(cache, DIM), "corpus"), path, DIM))
+
+
+def ivf_index(spark: SparkSession, d: str) -> DataFrame:
+    """Builds the index, if it isn't there, and counts what its blocks hold."""
+    return index_of(spark, d).groupBy("cluster_id", "shard").agg(F.count("*").alias("n_vectors"), F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"))
+
+
+def nearest(spark: SparkSession, d: str, queries: DataFrame, blocks: DataFrame, k: int = K, per_cluster: bool = False) -> DataFrame:
+    return _out(search.search(queries, blocks, k, DIM, _probes(spark, d, queries), per_cluster))
 
 
 def ivf_topk(spark: SparkSession, d: str) -> DataFrame:
-    corpus = _corpus(spark, d)
-    q = materialize(_sample(corpus), "queries")
-    return _out(search.search(q, corpus, K, DIM, materialize(_probes(spark, d, q), "probes")))
+    blocks = index_of(spark, d)
+    return nearest(spark, d, sample(blocks), blocks)
 
 
 def per_cluster_topk(spark: SparkSession, d: str) -> DataFrame:
     """The best three of every probed block."""
-    corpus = _corpus(spark, d)
-    q = materialize(_sample(corpus), "queries")
-    return _out(search.search(q, corpus, 3, DIM, materialize(_probes(spark, d, q), "probes"), per_cluster=True))
+    blocks = index_of(spark, d)
+    return nearest(spark, d, sample(blocks), blocks, 3, per_cluster=True)
+
+
+def ivf_join_topk(spark: SparkSession, d: str) -> DataFrame:
+    """ivf_topk of every vector that some query asks for: queries and blocks meet by a join."""
+    blocks = index_of(spark, d)
+    q = materialize(_asked(spark, d, blocks), "queries")
+    return _out(search.search(q, blocks, 3, DIM, _probes(spark, d, q), many=True)).select("qid", "rank", "vec_id", "cluster_id", "dist")
 
 
 def flat_topk(spark: SparkSession, d: str) -> DataFrame:
-    corpus = _corpus(spark, d)
-    return _out(search.search(materialize(_sample(corpus), "queries"), corpus, K, DIM))
+    corpus = corpus_of(spark, d)
+    return _out(search.search(sample(corpus), corpus, K, DIM))
 
 
 def ivf_recall(spark: SparkSession, d: str) -> DataFrame:
-    corpus = materialize(_corpus(spark, d), "corpus")
-    q = materialize(_sample(corpus), "queries")
-    r = search.recall(search.search(q, corpus, K, DIM, materialize(_probes(spark, d, q), "probes")), search.search(q, corpus, K, DIM))
+    blocks = index_of(spark, d)
+    q = sample(blocks)
+    r = search.recall(search.search(q, blocks, K, DIM, _probes(spark, d, q)), search.search(q, blocks, K, DIM))
     return r.withColumn("recall", F.round("recall", 6))
 
 
-QUERIES = {f.__name__: f for f in (ivf_topk, flat_topk, ivf_recall, per_cluster_topk, coarse_probe, probe_sets, cluster_profile, cluster_costs)}
+QUERIES = {f.__name__: f for f in (ivf_index, ivf_topk, ivf_join_topk, flat_topk, ivf_recall, per_cluster_topk, coarse_probe, probe_sets, cluster_profile, cluster_costs)}
 
 CORPUS = """
 ok AS (SELECT * FROM cluster_cache WHERE vec_id IS NOT NULL AND cluster_id IS NOT NULL AND len(embeddings) = 64
@@ -105,6 +126,9 @@ FROM q JOIN probes ON q.qid = probes.qid JOIN corpus ON corpus.cluster_id = prob
 _FLAT = f"flat AS (SELECT * FROM (SELECT q.qid, vec_id, cluster_id, {_PAIRS} AS dist, row_number() OVER (PARTITION BY q.qid ORDER BY {_PAIRS}, vec_id) AS rank FROM q, corpus) WHERE rank <= {K})"
 
 SQL = {
+    "ivf_index": f"WITH {CORPUS} SELECT cluster_id, CAST(floor(cluster_id / 64) AS INTEGER) AS shard, count(*) AS n_vectors, min(vec_id) AS first_id, max(vec_id) AS last_id FROM corpus GROUP BY 1, 2",
+    "ivf_join_topk": f"""{_probe_sql(_ASKED)} SELECT * FROM (SELECT q.qid, CAST(row_number() OVER (PARTITION BY q.qid ORDER BY {_PAIRS}, vec_id) AS INTEGER) AS rank, vec_id, corpus.cluster_id,
+round({_PAIRS}, 6) AS dist FROM q JOIN probes ON q.qid = probes.qid JOIN corpus ON corpus.cluster_id = probes.cluster_id) WHERE rank <= 3""",
     "cluster_profile": f"WITH {CORPUS} SELECT cluster_id, count(*) AS n_vectors, round(count(*) * 256 / 1048576.0, 6) AS size_mb, CAST(count(*) AS DOUBLE) AS load_cost FROM corpus GROUP BY cluster_id",
     "cluster_costs": """SELECT c.cluster_id, CASE WHEN isfinite(max(latency_sec)) THEN max(latency_sec) END AS latency_sec, coalesce(max(size_mb), 0.0) AS size_mb
 FROM (SELECT DISTINCT cluster_id FROM centroids) c LEFT JOIN cluster_stats s ON s.cluster_id = c.cluster_id GROUP BY c.cluster_id""",

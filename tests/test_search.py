@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions.vectors import squared_l2, usable
+from skein import runtime
 from skein.operators import index, search
 
 DIM = 8
@@ -105,6 +106,72 @@ def test_costs_and_placement(spark):
     assert [(r["cluster_id"], r["batch"]) for r in order] == [(1, 0), (2, 0), (3, 1), (4, 1), (55, 2)]
 
 
+@pytest.mark.parametrize("cell", [20_000, 30])
+def test_joined_search_equals_the_scan(spark, data, monkeypatch, cell):
+    monkeypatch.setattr(search, "CELL", cell)
+    _, _, _, corpus, cents, queries = data
+    probes = search.coarse_probe(queries, cents, 3, DIM)
+    key = lambda df: sorted((r["qid"], r["rank"], r["vec_id"], r["cluster_id"], round(r["dist"], 9)) for r in df.collect())
+    for per_cluster in (False, True):
+        want = key(search.search(queries, corpus, 4, DIM, probes, per_cluster))
+        assert key(search.search(queries, corpus, 4, DIM, probes, per_cluster, many=True)) == want
+        monkeypatch.setattr(search, "QUERIES", 7)  # more queries than a task holds
+        assert key(search.search(queries, corpus, 4, DIM, probes, per_cluster)) == want
+        monkeypatch.setattr(search, "QUERIES", 10_000)
+    assert search.search(queries.limit(0), corpus, 4, DIM, probes, many=True).collect() == []
+    assert search.search(queries, corpus.limit(0), 4, DIM, probes, many=True).collect() == []
+
+
+def test_written_index_is_read_by_its_directories(spark, data, tmp_path, monkeypatch):
+    x, _, home, corpus, cents, queries = data
+    monkeypatch.setattr(index, "SPAN", 4)
+    index.write_index(corpus, str(tmp_path / "i"), DIM)
+    blocks = spark.read.parquet(str(tmp_path / "i"))
+    df = index.probed(blocks, [1, 3, 3])
+    assert df.count() == int(((home == 1) | (home == 3)).sum())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan or "PartitionFilters: [shard" in plan
+    assert "PushedFilters: [Or(EqualTo(cluster_id" in plan or "PushedFilters: [In(cluster_id" in plan
+    probes = search.coarse_probe(queries, cents, 2, DIM)
+    key = lambda df: sorted((r["qid"], r["rank"], r["vec_id"]) for r in df.collect())
+    assert key(search.search(queries, blocks, 5, DIM, probes)) == key(search.search(queries, corpus, 5, DIM, probes))
+
+
+def test_kept_tables_and_scratch(spark, tmp_path):
+    import os
+
+    src, wrote = str(tmp_path / "s"), []
+    spark.range(5).write.parquet(src)
+
+    def write(path):
+        wrote.append(path)
+        spark.read.parquet(src).write.parquet(path)
+
+    with runtime.scratch(spark):
+        assert runtime.kept(spark.read.parquet(src), "k", write).count() == 5
+        t = runtime.materialize(spark.range(3), "three")
+        (gone,) = {f[7:].rsplit("/", 2)[0] for f in t.inputFiles()}
+        assert os.path.isdir(gone)
+    assert not os.path.exists(gone)
+    assert runtime.kept(spark.read.parquet(src), "k", write).count() == 5 and len(wrote) == 1
+    spark.range(7).write.mode("overwrite").parquet(src)
+    assert runtime.kept(spark.read.parquet(src), "k", write).count() == 7 and len(wrote) == 2
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Session:
+        conf = Conf
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(Session)
+
+
 def test_partitioned_corpus_prunes(spark, data, tmp_path):
     _, _, home, corpus, _, _ = data
     index.write_partitioned(corpus, str(tmp_path / "c"))
