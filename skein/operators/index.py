@@ -81,9 +81,12 @@ def write_index(vectors: DataFrame, path: str, dim: int = DIM) -> None:
 def probed(vectors: DataFrame, ids: list[int]) -> DataFrame:
     """The vectors of some blocks. Of a written index only their directories are listed and their row groups read."""
     ids = sorted({int(i) for i in ids})
+    if not ids:
+        return vectors.limit(0)
+    of = lambda c, v: f"{c} IN ({', '.join(map(str, v))})"  # noqa: E731  one expression to parse: a Column per id is slow
     if "shard" in vectors.columns:
-        vectors = vectors.where(F.col("shard").isin(sorted({i // SPAN for i in ids})))
-    return vectors.where(F.col("cluster_id").isin(ids))
+        vectors = vectors.where(of("shard", sorted({i // SPAN for i in ids})))
+    return vectors.where(of("cluster_id", ids))
 
 
 def write_partitioned(vectors: DataFrame, path: str) -> None:
