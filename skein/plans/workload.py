@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.sets import clean_ids
 from skein.operators import cache, grouping, index, prefetch
+from skein.plans.tracesql import linkage_sql, schedule_sql, trace_sql
 from skein.runtime import materialize, table
 from skein.streaming import windows
 
@@ -243,3 +244,27 @@ JOIN freq ON freq.window_id = nxt.window_id AND freq.group_id = next_group_id WH
 }
 #: The plans of whole windows: the same without the cap.
 SQL |= {f"{n}_whole": SQL[n].replace(f" WHERE rn <= {CAP})", ")") for n in ("schedule_arrival", "group_ends", "prefetch_plan_first", "prefetch_plan_balanced", "cluster_frequency")}
+
+SQL |= {f"group_{n}_linkage": f"{_W}, {linkage_sql('windowed', 'window_id', LEAST, n)} SELECT window_id, qid, seq, group_id FROM agg" for n in ("complete", "average")}
+
+
+def _trace_sql(policy: str, linkage: str | None = None, fetch: str = "none") -> str:
+    return f"{_D}, {_C}, {schedule_sql(CAP, LEAST, linkage, fetch)}, {trace_sql(CAPACITY, policy, fetch)}"
+
+
+SQL |= {n: f"{_trace_sql(*a)} SELECT * FROM tr" for n, a in {
+    "cache_trace_cost_freq": ("cost_freq",),
+    "cache_trace_lru": ("lru",),
+    "cache_trace_fifo": ("fifo",),
+    "cache_trace_window_topk": ("window_top",),
+    "cache_trace_grouped": ("cost_freq", "complete"),
+    "cache_trace_prefetch_fg": ("cost_freq", "complete", "first"),
+    "cache_trace_prefetch_balance": ("cost_freq", "complete", "balance"),
+}.items()}
+_TOTALS = """count(*) AS queries, CAST(sum(len(hits) + len(misses)) AS BIGINT) AS requests, CAST(sum(len(hits)) AS BIGINT) AS hits, CAST(sum(len(evicted)) AS BIGINT) AS evictions,
+CAST(sum(len(prefetched)) AS BIGINT) AS prefetches, round(sum(load_mb), 4) AS load_mb, round(coalesce(sum(len(hits)) / CAST(nullif(sum(len(hits) + len(misses)), 0) AS DOUBLE), 0.0), 6) AS hit_ratio"""
+SQL["cache_summary"] = " UNION ALL ".join(
+    f"SELECT * FROM ({_trace_sql(policy, linkage, fetch)} SELECT topic, {_TOTALS}, '{policy}' AS policy, '{mode}' AS mode FROM tr GROUP BY topic)"
+    for policy in cache.POLICIES
+    for mode, linkage, fetch in (("arrival", None, "none"), ("grouped", "complete", "none"), ("grouped_first", "complete", "first"), ("grouped_balance", "complete", "balance"))
+)
