@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.formats import parse_percent, percent, seconds, topic_of
+from skein.functions.formats import parse_percent, percent, seconds, topic_of, whole_mb
+from skein.runtime import join_checked, materialize
 
 WARM_UP = 20
 #: Timed columns of the log.
@@ -54,6 +55,24 @@ def formatted(log: DataFrame) -> DataFrame:
     return log.select(*keep, *[seconds(F.col(c)).alias(c) for c in TIMES], percent(F.col("hit_ratio")).alias("chr"))
 
 
+def run_log(trace: DataFrame, keys: list[str], window_col: str = "window_no", warm: int = WARM_UP) -> DataFrame:
+    """The result log of traces (cache.trace): keys + (seq, batch_seq, qid, nmc, chr, num, drs, prefetch), one row a query.
+
+    nmc blocks were missing, chr is the hit ratio in percent, num the queries of the batch, drs the whole MB read, prefetch whether
+    the query set off a prefetch. The first `warm` queries of a key aren't logged; seq counts the others from 1.
+    A query without blocks has a null chr. Times are the machine's and have no model here.
+    Places come from the batches' sizes, which are summed up, so no key's rows are sorted in one task.
+    """
+    t = materialize(trace, "trace")
+    sizes = t.groupBy(*keys, window_col).agg(F.count("*").alias("num"))
+    w = Window.partitionBy(*keys).orderBy(window_col).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = materialize(sizes.withColumn("_before", F.coalesce(F.sum("num").over(w), F.lit(0))), "batches")
+    out = join_checked(t, sizes, [*keys, window_col])
+    seq = F.col("_before") + F.col("position") - warm
+    drs = whole_mb(F.col("load_mb") * 1048576)
+    return out.where(seq > 0).select(*keys, seq.alias("seq"), F.col(window_col).alias("batch_seq"), "qid", F.col("n_miss").alias("nmc"), percent(F.col("hit_ratio")).alias("chr"), "num", drs.alias("drs"), (F.size("prefetched") > 0).alias("prefetch"))
+
+
 def settings(configs: DataFrame) -> DataFrame:
     """Run settings in one spelling with defaults for what is missing.
 

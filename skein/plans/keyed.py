@@ -35,9 +35,17 @@ def p2_postings(spark: SparkSession, d: str) -> DataFrame:
     return hotkeys.postings(_sets(spark, d)).select(F.col("key").alias("cluster_id"), "part", "n", F.col("record_ids").alias("qids"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p2_postings": p2_postings}
+def p2_posting_sums(spark: SparkSession, d: str) -> DataFrame:
+    """What p2_postings holds of every cluster id: queries, their smallest and largest qid, and whether every row is of bounded length."""
+    rows = hotkeys.postings(_sets(spark, d))
+    low, high = F.min(F.array_min("record_ids")), F.max(F.array_max("record_ids"))
+    return rows.groupBy(F.col("key").alias("cluster_id")).agg(F.sum("n").alias("n_queries"), low.alias("min_qid"), high.alias("max_qid"), (F.max("n") <= hotkeys.CHUNK).alias("bounded"))
+
+
+QUERIES = {"p2_posting_sums": p2_posting_sums, "p2_found": p2_found, "p2_counts": p2_counts, "p2_postings": p2_postings}
 
 SQL = {
+    "p2_posting_sums": f"WITH e AS ({IDS}) SELECT c AS cluster_id, count(*) AS n_queries, min(qid) AS min_qid, max(qid) AS max_qid, true AS bounded FROM e GROUP BY c",
     "p2_found": f"""
 WITH e AS ({IDS}), n AS (SELECT count(DISTINCT qid) AS n FROM e)
 SELECT CAST(c AS BIGINT) AS cluster_id FROM e GROUP BY c HAVING count(*) >= {SHARE} * (SELECT n FROM n)""",

@@ -73,7 +73,10 @@ _TIMES = ", ".join(f"CASE WHEN NOT isnan({c}) AND {c} >= 0 THEN {c} END AS {c}"
 _L = f"""WITH log AS (SELECT run_id, seq, batch_seq, qid, ts, nmc, num, drs, {_TIMES}, TRY_CAST(nullif(regexp_extract(chr, '^\\s*([0-9]+(?:\\.[0-9]+)?)%\\s*$', 1), '') AS DOUBLE) / 100 AS hit_ratio
 FROM (SELECT *, row_number() OVER (PARTITION BY run_id, seq, qid, ts ORDER BY logged_at) AS r FROM search_metrics) WHERE r = 1)"""
 
+_TEXTS = ", ".join(f"CAST(round(CAST({c} AS DECIMAL(30, 14)), 4) AS DECIMAL(30, 4))::VARCHAR AS {c}" for c in metrics.TIMES)
+
 SQL = {
+    "formatted_log": f"{_L} SELECT run_id, seq, batch_seq, qid, nmc, num, drs, {_TEXTS}, CAST(round(CAST(hit_ratio * 100 AS DECIMAL(30, 12)), 3) AS DECIMAL(30, 3))::VARCHAR || '%' AS chr FROM log",
     "run_totals": f"""{_L} SELECT run_id, count(*) AS n_queries, count(duration) AS n_timed, round(sum(duration), 4) AS sum_duration, round(avg(duration), 6) AS mean_duration,
 CAST(sum(nmc) AS BIGINT) AS n_misses, CAST(sum(drs) AS BIGINT) AS loaded_mb, round(avg(hit_ratio), 6) AS mean_hit_ratio FROM log GROUP BY run_id""",
     "warm_run_totals": f"{_L} SELECT run_id, count(*) AS n_queries, min(seq - 20) AS first_seq, max(seq - 20) AS last_seq, CAST(sum(nmc) AS BIGINT) AS n_misses FROM log WHERE seq > 20 GROUP BY run_id",

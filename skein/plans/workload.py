@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.sets import clean_ids
-from skein.operators import cache, grouping, index, prefetch
+from skein.operators import cache, grouping, index, metrics, prefetch
 from skein.plans.tracesql import linkage_sql, schedule_sql, trace_sql
 from skein.runtime import materialize, table
 from skein.streaming import windows
@@ -194,7 +194,12 @@ def cache_summary(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (query_windows, count_windows, window_cap, query_chunks, jaccard_pairs, group_single_linkage, group_complete_linkage, group_average_linkage, schedule_single, schedule_arrival, group_ends, prefetch_plan_first, prefetch_plan_balanced, cluster_frequency, schedule_arrival_whole, group_ends_whole, prefetch_plan_first_whole, prefetch_plan_balanced_whole, cluster_frequency_whole, window_top_clusters, placement_order, adaptive_threads)} | TRACES | {"cache_summary": cache_summary}
+def run_log(spark: SparkSession, d: str) -> DataFrame:
+    """The result log of a run: grouped by complete linkage, with prefetch of the next group's first query and the cost_freq cache."""
+    return metrics.run_log(_trace("cost_freq", "complete", "first")(spark, d), ["topic"])
+
+
+QUERIES = {f.__name__: f for f in (run_log, query_windows, count_windows, window_cap, query_chunks, jaccard_pairs, group_single_linkage, group_complete_linkage, group_average_linkage, schedule_single, schedule_arrival, group_ends, prefetch_plan_first, prefetch_plan_balanced, cluster_frequency, schedule_arrival_whole, group_ends_whole, prefetch_plan_first_whole, prefetch_plan_balanced_whole, cluster_frequency_whole, window_top_clusters, placement_order, adaptive_threads)} | TRACES | {"cache_summary": cache_summary}
 
 _D = """WITH RECURSIVE first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY seq) AS r FROM all_results WHERE qid IS NOT NULL AND seq IS NOT NULL) WHERE r = 1),
 delivered AS (SELECT qid, window_id, seq, coalesce(lower(trim(topic)), '') AS topic, ts, coalesce(list_sort(list_distinct(list_filter(cluster_ids_set, lambda x: x >= 0))), []) AS cluster_ids FROM first)"""
@@ -261,6 +266,9 @@ SQL |= {n: f"{_trace_sql(*a)} SELECT * FROM tr" for n, a in {
     "cache_trace_prefetch_fg": ("cost_freq", "complete", "first"),
     "cache_trace_prefetch_balance": ("cost_freq", "complete", "balance"),
 }.items()}
+SQL["run_log"] = f"""{_trace_sql("cost_freq", "complete", "first")} SELECT topic, seq, window_no AS batch_seq, qid, n_miss AS nmc, printf('%.3f%%', hit_ratio * 100) AS chr, num,
+CAST(floor(load_mb) AS INTEGER) AS drs, len(prefetched) > 0 AS prefetch FROM
+(SELECT *, row_number() OVER (PARTITION BY topic ORDER BY window_no, position) - {metrics.WARM_UP} AS seq, count(*) OVER (PARTITION BY topic, window_no) AS num FROM tr) WHERE seq > 0"""
 _TOTALS = """count(*) AS queries, CAST(sum(len(hits) + len(misses)) AS BIGINT) AS requests, CAST(sum(len(hits)) AS BIGINT) AS hits, CAST(sum(len(evicted)) AS BIGINT) AS evictions,
 CAST(sum(len(prefetched)) AS BIGINT) AS prefetches, round(sum(load_mb), 4) AS load_mb, round(coalesce(sum(len(hits)) / CAST(nullif(sum(len(hits) + len(misses)), 0) AS DOUBLE), 0.0), 6) AS hit_ratio"""
 SQL["cache_summary"] = " UNION ALL ".join(

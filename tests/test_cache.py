@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from skein.operators import cache
+from skein.operators import cache, metrics
+from skein.streaming import windows
 
 COSTS = {i: (float(i % 5 + 1), float(i % 7)) for i in range(30)}
 
@@ -124,3 +125,20 @@ def test_empty_null_and_totals(spark):
         cache.trace(df, costs, 2, "lru", "all")
     with pytest.raises(ValueError):
         cache.Cache(2, "random", {}, {})
+
+
+def test_run_log(spark):
+    rows = [("a", w, p, 10 * w + p, [1], [2] * p, [], [9] if p == 2 else [], p, None if p == 3 else 1 / (1 + p), 1.75) for w in range(2) for p in range(1, 4)]
+    schema = "topic string, window_no bigint, position int, qid bigint, hits array<int>, misses array<int>, evicted array<int>, prefetched array<int>, n_miss int, hit_ratio double, load_mb double"
+    t = spark.createDataFrame(rows, schema)
+    got = [tuple(r) for r in metrics.run_log(t, ["topic"], warm=2).orderBy("seq").collect()]
+    assert got == [("a", 1, 0, 3, 3, None, 3, 1, False), ("a", 2, 1, 11, 1, "50.000%", 3, 1, False), ("a", 3, 1, 12, 2, "33.333%", 3, 1, True), ("a", 4, 1, 13, 3, None, 3, 1, False)]
+    assert metrics.run_log(t.limit(0), ["topic"]).collect() == []
+
+
+def test_window_numbers_do_not_depend_on_spans(spark, monkeypatch):
+    q = spark.createDataFrame([(i, (i * 37) % 101 if i % 10 else None, "a" if i % 3 else None) for i in range(100)], "qid bigint, seq bigint, topic string")
+    want = sorted(tuple(r) for r in windows.count_windows(q, 7, ["topic"]).select("qid", "window_no").collect())
+    monkeypatch.setattr(windows, "SPAN", 10)
+    assert sorted(tuple(r) for r in windows.count_windows(q, 7, ["topic"]).select("qid", "window_no").collect()) == want
+    assert windows.count_windows(q, 7, ["topic"]).groupBy("topic", "window_no").count().where("count > 7").count() == 0
