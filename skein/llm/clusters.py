@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.vectors import Collection, unit, usable
+from skein.llm.vectors import Collection, usable
 from skein.runtime import join_checked, materialize, small_or_none
 
 #: Links up to which one task runs the rounds.
@@ -210,6 +210,12 @@ def vector_groups(df: DataFrame, id_col: str, vec_col: str, dim: int, least: flo
     return groups.join(size, "group_id").select("id", "group_id")
 
 
+def _directions(x: np.ndarray) -> np.ndarray:
+    y = x.astype(np.float64)
+    y /= np.abs(y).max(axis=1, keepdims=True)
+    return y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
 def describe(df: DataFrame, groups: DataFrame, id_col: str, vec_col: str, dim: int, top: int = 3) -> DataFrame:
     """Rows (group_id, size, typical, cohesion): the `top` members nearest the group's mean direction
     (ties by id) and the mean cosine of the members to it. groups: a written table (id, group_id)."""
@@ -221,7 +227,7 @@ def describe(df: DataFrame, groups: DataFrame, id_col: str, vec_col: str, dim: i
             ids, x = usable(b.column(1), b.column(2), dim)
             g, at = np.unique(ids, return_inverse=True)
             t = np.zeros((len(g), dim))
-            np.add.at(t, at, unit(x).astype(float))
+            np.add.at(t, at, _directions(x))
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.bincount(at, minlength=len(g)).astype(np.int64)), pa.array(list(t), pa.list_(pa.float64()))], names=["group_id", "n", "total"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +245,7 @@ def describe(df: DataFrame, groups: DataFrame, id_col: str, vec_col: str, dim: i
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u = unit(np.asarray(b.column(2).flatten(), dtype=np.float32).reshape(-1, dim)).astype(float)
+            u = _directions(np.asarray(b.column(2).flatten(), dtype=np.float64).reshape(-1, dim))
             t = np.asarray(b.column(4).flatten()).reshape(-1, dim)
             cos = (u * t).sum(axis=1) / np.maximum(np.linalg.norm(t, axis=1), 1e-300)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(cos)], names=["id", "group_id", "n", "cos"])
@@ -247,7 +253,7 @@ def describe(df: DataFrame, groups: DataFrame, id_col: str, vec_col: str, dim: i
     side = F.broadcast(means) if small_or_none(means, 50_000) else means
     scored = one.join(side, "group_id").select("id", "group_id", "vec", "n", "total").mapInArrow(near, "id bigint, group_id bigint, n bigint, cos double")
     scored = materialize(scored, "scored")
-    w = Window.partitionBy("group_id").orderBy(F.desc("cos"), "id")
+    w = Window.partitionBy("group_id").orderBy(F.desc(F.round("cos", 9)), "id")  # rounding makes ties of copies ties
     best = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top)
     typical = best.groupBy("group_id").agg(F.expr("transform(array_sort(collect_list(struct(r, id))), p -> p.id)").alias("typical"))
     return scored.groupBy("group_id").agg(F.first("n").alias("size"), F.round(F.avg("cos"), 6).alias("cohesion")).join(typical, "group_id").select("group_id", "size", "typical", "cohesion")

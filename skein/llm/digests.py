@@ -7,8 +7,9 @@ values are one point before clustering and a digest of few distinct values keeps
 them all, so heavy ties cost no accuracy. Digests merge by clustering the union of
 their centroids again; merging days, runs or partitions is the same step.
 
-certify() reads the values a second time and counts, for every answer, the rows
-below and up to it: the rank error it reports is measured, not estimated.
+certify() counts, for every answer, the rows below and up to it: the rank error it reports is
+measured, not estimated. Answers of several scopes share one second pass over the values:
+between() counts the values of every group between neighbouring answers, and certify() adds these counts up.
 """
 
 from __future__ import annotations
@@ -22,14 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from skein.runtime import small_or_none, width
+from skein.runtime import materialize, small_or_none, width
 
 #: Compression: a digest keeps at most about this many centroids.
 DELTA = 400
 QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 #: Splits whose digests of one group are merged at once.
 FAN_IN = 64
+#: Groups that a split holds; beyond, their digests leave it.
+HELD = 20_000
 DIGEST = "n bigint, means array<double>, weights array<double>, lows array<double>, highs array<double>"
 _PARTS = ("means", "weights", "lows", "highs")
 
@@ -86,17 +90,29 @@ def digests(values: DataFrame, keys: Sequence[str], value: str, delta: int = DEL
         lane = TaskContext.get().partitionId() % lanes
         held: dict[tuple, list] = {}
         rows = 0
+
+        def one(parts: list) -> tuple[np.ndarray, ...]:
+            return compress(*(np.concatenate(c) for c in zip(*parts, strict=True)), delta)
+
+        def leave() -> pd.DataFrame:
+            out = [(*k, lane, one(parts)) for k, parts in held.items()]
+            held.clear()
+            return pd.DataFrame({**{k: [o[i] for o in out] for i, k in enumerate(keys)}, "lane": [o[-2] for o in out], "n": [int(o[-1][1].sum()) for o in out], **{p: [o[-1][j] for o in out] for j, p in enumerate(_PARTS)}})
+
         for pdf in batches:
             for key, v in pdf.groupby(keys, dropna=False, sort=False)[value] if keys else [((), pdf[value])]:
                 x = v.to_numpy(dtype=float)
                 u, n = np.unique(x, return_counts=True)
                 held.setdefault(tuple(None if pd.isna(k) else k for k in key), []).append((u, n.astype(float), u, u))
             rows += len(pdf)
-            if rows > 500_000:
-                held, rows = {k: [compress(*(np.concatenate(c) for c in zip(*parts, strict=True)), delta)] for k, parts in held.items()}, 0
-        out = [(*k, lane, d) for k, parts in held.items() for d in [compress(*(np.concatenate(c) for c in zip(*parts, strict=True)), delta)]]
-        if out:
-            yield pd.DataFrame({**{k: [o[i] for o in out] for i, k in enumerate(keys)}, "lane": [o[-2] for o in out], "n": [int(o[-1][1].sum()) for o in out], **{p: [o[-1][j] for o in out] for j, p in enumerate(_PARTS)}})
+            if len(held) > HELD:
+                yield leave()
+            elif rows > 500_000:
+                for k, parts in held.items():
+                    held[k] = [one(parts)]
+                rows = 0
+        if held:
+            yield leave()
 
     clean = values.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
     parts = clean.mapInPandas(split, schema)
@@ -111,15 +127,51 @@ def merge(parts: DataFrame, keys: Sequence[str], delta: int = DELTA) -> DataFram
     keys = list(keys)
     types = dict(parts.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), DIGEST])
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        d = compress(*(np.concatenate([np.asarray(x, float) for x in pdf[p]]) for p in _PARTS), delta)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n": [int(pdf["n"].sum())], **{p: [a] for p, a in zip(_PARTS, d, strict=True)}})
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Merge runs of equal keys of a sorted stream."""
+        now: tuple | None = None
+        held: list[tuple[np.ndarray, ...]] = []
+        out: list[tuple] = []
+        n = 0
+
+        def end() -> None:
+            if held:
+                d = held[0] if len(held) == 1 else compress(*(np.concatenate(c) for c in zip(*held, strict=True)), delta)
+                out.append((*now, n, *d))
+                held.clear()
+
+        def batch() -> pa.RecordBatch:
+            cols = [pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), arrow, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(cols, schema=arrow)
+
+        for b in batches:
+            own = list(zip(*(b.column(i).to_pylist() for i in range(len(keys))), strict=True)) if keys else [()] * b.num_rows
+            sizes = b.column(len(keys)).to_pylist()
+            lists = [b.column(len(keys) + 1 + i) for i in range(len(_PARTS))]
+            ends = np.concatenate([[0], np.cumsum(np.asarray(lists[0].value_lengths()))])
+            flat = [np.asarray(x.flatten(), dtype=float) for x in lists]
+            for r, key in enumerate(own):
+                if key != now:
+                    end()
+                    now, n = key, 0
+                    if len(out) >= 1000:
+                        yield batch()
+                held.append(tuple(x[ends[r] : ends[r + 1]] for x in flat))
+                n += sizes[r]
+        end()
+        if out:
+            yield batch()
 
     cols = [*keys, "n", *_PARTS]
-    if "lane" in parts.columns:
-        parts = parts.select(*cols, "lane").groupBy(*keys, "lane").applyInPandas(one, schema)
-    return parts.select(*cols).groupBy(*keys).applyInPandas(one, schema)
+
+    def by(df: DataFrame, *ks: str) -> DataFrame:
+        placed = df.repartition(*[F.col(k) for k in ks]).sortWithinPartitions(*ks) if ks else df.repartition(1)
+        return placed.select(*cols).mapInArrow(f, schema)
+
+    return by(by(parts, *keys, "lane") if "lane" in parts.columns else parts, *keys)
 
 
 def answers(dig: DataFrame, keys: Sequence[str], quantiles: Sequence[float] = QUANTILES) -> DataFrame:
@@ -136,26 +188,63 @@ def answers(dig: DataFrame, keys: Sequence[str], quantiles: Sequence[float] = QU
     return dig.mapInPandas(f, schema)
 
 
-def certify(values: DataFrame, ans: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+def _finite(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    return values.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf")))
+
+
+def _same(keys: Sequence[str]):
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return on
+
+
+def all_answers(answers: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """Rows (keys, asked): for each group of the first answers, which have all keys, its answers and those of the groups of the others that hold it, ascending."""
+    out, keys = answers[0]
+    out = out.select(*keys, F.col("est").alias("_0"))
+    for i, (other, k) in enumerate(answers[1:], 1):
+        side = other.select(*[F.col(c).alias(f"_{c}") for c in k], F.col("est").alias(f"_e{i}"))
+        out = out.join(F.broadcast(side) if small_or_none(other) else side, _same(k), "left").drop(*[f"_{c}" for c in k])
+    arrays = ["_0", *[f"_e{i}" for i in range(1, len(answers))]]
+    return out.select(*keys, F.array_sort(F.array_distinct(F.concat(*arrays))).alias("asked"))
+
+
+def between(values: DataFrame, asked: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows (keys, low, high, n_values): the values of every group equal to an answer or between two neighbouring ones, as
+    least, largest and number. One pass; at most 2 x answers + 1 rows a group, combined before the shuffle.
+    asked is broadcast if its rows stay under the checked bound, else joined with AQE's skew join."""
+    keys = list(keys)
+    a = materialize(asked.select(*[F.col(k).alias(f"_{k}") for k in keys], "asked"), "asked")
+    j = _finite(values, keys, value).join(F.broadcast(a) if small_or_none(a) else a, _same(keys))
+    most = a.agg(F.max(F.size("asked"))).first()[0] or 0
+    below = F.lit(0)
+    for i in range(most):  # compiled comparisons instead of a lambda; beyond the array's end there is null
+        below = below + F.coalesce((F.get("asked", i) < F.col("_v")).cast("int"), F.lit(0))
+    g = j.groupBy(*keys, below.alias("_b"), F.array_contains("asked", F.col("_v")).alias("_hit"))
+    return g.agg(F.min("_v").alias("low"), F.max("_v").alias("high"), F.count("*").alias("n_values")).drop("_b", "_hit")
+
+
+def certify(values: DataFrame, ans: DataFrame, keys: Sequence[str], value: str | tuple[str, str, str], quantiles: Sequence[float] = QUANTILES) -> DataFrame:
     """Rows (keys, n, q, value, rank_low, rank_high, rank_error) with measured ranks.
 
     rank_low and rank_high are the shares of the group's values below and up to
     `value`; rank_error is the distance of q from that interval (0 inside). `value`
-    is always a value of the data: between two of them the closer rank is taken. ans is a
-    written table; it is broadcast if its rows stay under the checked bound,
+    is always a value of the data: between two of them the closer rank is taken. values: rows of single values, or, with three
+    names, of between(). ans is broadcast if its rows stay under the checked bound,
     else shuffled with the hot groups' rows spread by AQE's skew join.
     """
     keys = list(keys)
     a = ans.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("n").alias("_n"), "est")
-    v = values.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf")))
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    j = v.join(F.broadcast(a) if small_or_none(ans) else a, on)
+    if isinstance(value, str):
+        v = _finite(values, keys, value).select(*keys, F.col("_v").alias("_lo"), F.col("_v").alias("_hi"), F.lit(1).cast("bigint").alias("_m"))
+    else:
+        v = values.select(*keys, *[F.col(c).alias(x) for c, x in zip(value, ("_lo", "_hi", "_m"), strict=True)])
+    j = v.join(F.broadcast(a) if small_or_none(ans) else a, _same(keys))
     aggs = []
     for i in range(len(quantiles)):
         e = F.col("est")[i]
-        aggs += [F.sum((F.col("_v") < e).cast("long")).alias(f"lt{i}"), F.sum((F.col("_v") <= e).cast("long")).alias(f"le{i}"), F.max(F.when(F.col("_v") <= e, F.col("_v"))).alias(f"dn{i}"), F.min(F.when(F.col("_v") >= e, F.col("_v"))).alias(f"up{i}")]
+        aggs += [F.sum(F.when(F.col("_hi") < e, F.col("_m")).otherwise(0)).alias(f"lt{i}"), F.sum(F.when(F.col("_hi") <= e, F.col("_m")).otherwise(0)).alias(f"le{i}"), F.max(F.when(F.col("_hi") <= e, F.col("_hi"))).alias(f"dn{i}"), F.min(F.when(F.col("_lo") >= e, F.col("_lo"))).alias(f"up{i}")]
     g = j.groupBy(*[f"_{k}" for k in keys]).agg(F.first("_n").alias("n"), *aggs)
     q = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("q"), F.col(f"lt{i}").alias("lt"), F.col(f"le{i}").alias("le"), F.col(f"dn{i}").alias("dn"), F.col(f"up{i}").alias("up")) for i, p in enumerate(quantiles)]))
     r = g.select(*[F.col(f"_{k}").alias(k) for k in keys], "n", q.alias("x")).select(*keys, "n", "x.*")

@@ -58,16 +58,22 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     rank errors. A null run_id or day is a group of its own; the column not in the scope is null."""
     values = materialize(_metrics(spark, d), "values")
     fine = materialize(digests.digests(values, ["run_id", "day", "metric"], "value"), "digests")
-    parts = []
-    for scope, keys in (("run_day", ["run_id", "day", "metric"]), ("run", ["run_id", "metric"]), ("day", ["day", "metric"])):
-        dig = fine if scope == "run_day" else digests.merge(fine, keys)
-        ans = materialize(digests.answers(dig, keys), f"answers_{scope}")
-        got = digests.certify(values, ans, keys, "value")
-        for c, t in (("run_id", "string"), ("day", "date")):
-            if c not in keys:
-                got = got.withColumn(c, F.lit(None).cast(t))
-        parts.append(got.select(F.lit(scope).alias("scope"), "run_id", "day", "metric", "n", "q", "value", "rank_low", "rank_high", "rank_error"))
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    scopes = (("run_day", ["run_id", "day", "metric"]), ("run", ["run_id", "metric"]), ("day", ["day", "metric"]))
+    ans = None
+    for scope, keys in scopes:
+        got = digests.answers(fine if scope == "run_day" else digests.merge(fine, keys), keys)
+        got = got.select(F.lit(scope).alias("scope"), *[F.col(c) if c in keys else F.lit(None).cast(t).alias(c) for c, t in (("run_id", "string"), ("day", "date"))], "metric", "n", "est")
+        ans = got if ans is None else ans.unionAll(got)
+    ans = materialize(ans, "answers")
+    of = {scope: ans.where(F.col("scope") == scope).select(*keys, "n", "est") for scope, keys in scopes}
+    asked = digests.all_answers([(of[scope], keys) for scope, keys in scopes])
+    between = materialize(digests.between(values, asked, ["run_id", "day", "metric"], "value"), "between")  # the one pass over the values
+    parts = None
+    for scope, keys in scopes:
+        got = digests.certify(between, of[scope], keys, ("low", "high", "n_values"))
+        got = got.select(F.lit(scope).alias("scope"), *[F.col(c) if c in keys else F.lit(None).cast(t).alias(c) for c, t in (("run_id", "string"), ("day", "date"))], "metric", "n", "q", "value", "rank_low", "rank_high", "rank_error")
+        parts = got if parts is None else parts.unionAll(got)
+    return parts
 
 
 def p3_batch_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -78,6 +84,16 @@ def p3_batch_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return ans.select("run_id", "n", q.alias("q", "value"))
 
 
+#: Largest rank error that p3_certified accepts. The widest centroid holds a share of pi / (2 DELTA) = 0.0039 of the rows; a digest that was merged once more can add that again.
+RANK_ERROR = 0.01
+
+
+def p3_certified(spark: SparkSession, d: str) -> DataFrame:
+    """The size of every group of p3_percentiles, and whether each measured rank error is within the bound."""
+    within = (F.col("rank_error") <= RANK_ERROR) & (F.col("rank_low") <= F.col("rank_high"))
+    return p3_percentiles(spark, d).select("scope", "run_id", "day", "metric", "n", "q", within.alias("certified"))
+
+
 def p3_medians(spark: SparkSession, d: str) -> DataFrame:
     """The medians alone, of the two coarse scopes."""
     return p3_percentiles(spark, d).where("q = 0.5 AND scope <> 'run_day'")
@@ -112,8 +128,9 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The ranked neighbours of every usable vector, from cosine NEAR on."""
-    return vectors.nearest(table(spark, d, "cluster_cache"), "vec_id", "embeddings", DIM, K, NEAR).withColumnsRenamed({"id": "vec_id", "other": "neighbour"})
+    """The ranked neighbours of every usable vector, from cosine NEAR on; cosines to 6 places."""
+    near = vectors.nearest(table(spark, d, "cluster_cache"), "vec_id", "embeddings", DIM, K, NEAR).withColumnsRenamed({"id": "vec_id", "other": "neighbour"})
+    return near.withColumn("sim", F.round("sim", 6))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -128,6 +145,11 @@ def p5_recall(spark: SparkSession, d: str) -> DataFrame:
     return vectors.recall(cache, near, "vec_id", "embeddings", DIM, K, NEAR)
 
 
+def p5_checked(spark: SparkSession, d: str) -> DataFrame:
+    """The sizes of p5_recall, and whether at least nine tenths of the true neighbours are found."""
+    return p5_recall(spark, d).select("queries", "true_pairs", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -141,6 +163,17 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.sized(table(spark, d, "documents")))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row of what every packing must keep: documents placed, containers over the capacity, documents in pieces that fit in one, gaps or
+    overlaps of pieces."""
+    packed = materialize(p8_packed(spark, d), "packed")
+    over = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used")).where(F.col("used") > packing.CAPACITY).count()
+    per = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.max(F.col("start") + F.col("n_tokens")).alias("ends"), F.count_distinct("piece").alias("numbers"))
+    torn = F.sum((F.col("pieces") != F.ceil(F.col("n") / packing.CAPACITY)).cast("bigint"))
+    gaps = F.sum(((F.col("ends") != F.col("n")) | (F.col("numbers") != F.col("pieces"))).cast("bigint"))
+    return per.agg(F.count("*").alias("documents"), F.coalesce(torn, F.lit(0)).alias("torn"), F.coalesce(gaps, F.lit(0)).alias("gaps"), F.lit(over).cast("bigint").alias("over_capacity"))
+
+
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     """Number of containers and their used share."""
     return packing.fill(p8_packed(spark, d))
@@ -163,7 +196,7 @@ def p9_agreement(spark: SparkSession, d: str) -> DataFrame:
     return said.join(found, "doc_id").groupBy("label", "annotator").agg(F.count("*").alias("n"), F.sum(same).alias("agree"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p1_average": p1_average, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_recall": p5_recall, "p3_percentiles": p3_percentiles, "p3_batch_percentiles": p3_batch_percentiles, "p3_medians": p3_medians, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_measures": p9_measures, "p9_agreement": p9_agreement}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p1_average": p1_average, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_recall": p5_recall, "p5_checked": p5_checked, "p3_percentiles": p3_percentiles, "p3_batch_percentiles": p3_batch_percentiles, "p3_medians": p3_medians, "p3_certified": p3_certified, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_checks": p8_checks, "p9_found": p9_found, "p9_measures": p9_measures, "p9_agreement": p9_agreement}
 
 _PAIRS = f"""
 WITH e AS ({IDS}), t AS (SELECT count(DISTINCT qid) AS n_records FROM e), f AS (SELECT c, count(*) AS n FROM e GROUP BY c),
@@ -173,7 +206,30 @@ _VECTORS = f"""u AS (SELECT vec_id, any_value(CAST(embeddings AS DOUBLE[{DIM}]))
   AND len(list_filter(embeddings, lambda x: x IS NOT NULL AND isfinite(x))) = {DIM} AND len(list_filter(embeddings, lambda x: x <> 0)) > 0 GROUP BY vec_id),
 s AS (SELECT a.vec_id AS x, b.vec_id AS y, array_cosine_similarity(a.v, b.v) AS sim FROM u a JOIN u b ON a.vec_id < b.vec_id)"""
 
+_NEAR = f"""n AS (SELECT * FROM (SELECT x AS vec_id, y AS neighbour, sim, row_number() OVER (PARTITION BY x ORDER BY sim DESC, y) AS rank FROM
+(SELECT x, y, round(sim, 12) AS sim FROM s WHERE sim >= {NEAR} UNION ALL SELECT y, x, round(sim, 12) FROM s WHERE sim >= {NEAR})) WHERE rank <= {K})"""
+_LINKED = f"""l AS MATERIALIZED (SELECT x, y FROM s WHERE sim >= {SAME}), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(x, y) AS (SELECT x, x FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y), g AS (SELECT x AS vec_id, min(y) AS group_vec_id FROM r GROUP BY x)"""
+
 SQL = {
+    "p5_checked": f"WITH {_VECTORS}, {_NEAR} SELECT count(DISTINCT vec_id) AS queries, count(*) AS true_pairs, true AS enough FROM n WHERE vec_id % 100 = 0",
+    "p1_groups": f"""
+WITH RECURSIVE {_VECTORS}, {_LINKED}, w AS (SELECT vec_id, list_transform(v, lambda z: z / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM u),
+m AS (SELECT group_vec_id, list(s ORDER BY i) AS m FROM (SELECT group_vec_id, i, sum(x) AS s FROM (SELECT group_vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM g JOIN w USING (vec_id)) GROUP BY 1, 2) GROUP BY 1),
+c AS (SELECT group_vec_id, vec_id, list_cosine_similarity(v, m) AS c FROM g JOIN w USING (vec_id) JOIN m USING (group_vec_id))
+SELECT group_vec_id, count(*) AS size, list(vec_id ORDER BY round(c, 9) DESC, vec_id)[:3] AS typical, round(avg(c), 6) AS cohesion FROM c GROUP BY 1""",
+    "p4_classes": f"""
+WITH e AS ({IDS}), s AS (SELECT qid, list(c ORDER BY c) AS ids, count(*) AS k FROM e GROUP BY qid HAVING count(*) >= {LEAST_IDS}),
+k AS (SELECT ids, min(qid) AS class_id, count(*) AS copies, any_value(k) AS k FROM s GROUP BY ids), f AS (SELECT class_id, k, unnest(ids) AS c FROM k),
+o AS (SELECT a.class_id AS x, b.class_id AS y, count(*) AS o, any_value(a.k) + any_value(b.k) AS ab FROM f a JOIN f b ON a.c = b.c AND a.class_id <> b.class_id GROUP BY 1, 2),
+n AS (SELECT x, count(*) AS links FROM o WHERE 10 * o >= 7 * (ab - o) GROUP BY x)
+SELECT qid, class_id, copies, coalesce(links, 0) AS links FROM s JOIN k USING (ids) LEFT JOIN n ON n.x = class_id""",
+    "p3_certified": """
+WITH m AS (SELECT DISTINCT run_id, seq, qid, ts, batch_seq, duration FROM search_metrics), v AS (SELECT run_id, CAST(ts AS DATE) AS day, 'duration' AS metric FROM m WHERE duration >= 0 AND isfinite(duration)
+UNION ALL SELECT run_id, CAST(ts AS DATE), 'batch_seq' FROM m WHERE batch_seq > 0),
+g AS (SELECT 'run_day' AS scope, run_id, day, metric, count(*) AS n FROM v GROUP BY ALL UNION ALL SELECT 'run', run_id, NULL, metric, count(*) FROM v GROUP BY ALL UNION ALL SELECT 'day', NULL, day, metric, count(*) FROM v GROUP BY ALL)
+SELECT scope, run_id, day, metric, n, q, true AS certified FROM g, (SELECT unnest([0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])::DOUBLE AS q)""",
+    "p8_checks": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS torn, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS over_capacity FROM documents WHERE length(text) > 0",
     "p1_found": f"""
 WITH RECURSIVE {_VECTORS}, l AS MATERIALIZED (SELECT x, y FROM s WHERE sim >= {SAME}), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r(x, y) AS (SELECT x, x FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)

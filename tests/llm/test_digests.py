@@ -61,3 +61,20 @@ def test_two_levels_give_the_same_totals(spark, monkeypatch, lanes):
     monkeypatch.setattr(dg, "FAN_IN", 4 // lanes)
     _, df = table(spark)
     assert {r["key"]: r["n"] for r in dg.digests(df, ["key"], "value").collect()} == {"a": 9000, "b": 3000, None: 2, "d": 1}
+
+
+def test_counts_between_answers_certify_as_the_values_do(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(k, d, float(v)) for k in ("a", None) for d in (1, 2, None) for v in np.round(rng.gamma(2.0, 20.0, 700), 1)] + [("b", 1, 2.0), ("b", 2, None), ("b", 2, float("nan"))]
+    df = spark.createDataFrame(rows, "key string, day int, value double").repartition(3)
+    fine = dg.digests(df, ["key", "day"], "value", 40)
+    scopes = [(["key", "day"], dg.materialize(dg.answers(fine, ["key", "day"]), "a")), (["key"], dg.materialize(dg.answers(dg.merge(fine, ["key"], 40), ["key"]), "a")), (["day"], dg.materialize(dg.answers(dg.merge(fine, ["day"], 40), ["day"]), "a"))]
+    cells = dg.materialize(dg.between(df, dg.all_answers([(a, k) for k, a in scopes]), ["key", "day"], "value"), "between")
+    assert cells.count() <= 7 * (2 * 27 + 1) and cells.agg({"n_values": "sum"}).first()[0] == 6 * 700 + 1
+    for keys, ans in scopes:
+        order = [*keys, "q"]
+        want = dg.certify(df, ans, keys, "value").orderBy(*order).collect()
+        assert dg.certify(cells, ans, keys, ("low", "high", "n_values")).orderBy(*order).collect() == want and len(want) >= 27
+        assert max(r["rank_error"] for r in want) <= 2 * 3.15 / 2 / 40
+    monkeypatch.setattr(dg, "HELD", 1)  # digests leave a split early
+    assert {(r["key"], r["day"]): r["n"] for r in dg.digests(df, ["key", "day"], "value", 40).collect()} == {(r["key"], r["day"]): r["n"] for r in fine.collect()}
