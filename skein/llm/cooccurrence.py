@@ -31,6 +31,8 @@ DENSE_ITEMS = 2_000
 STEP = 2_000_000
 #: Pairs that a split holds at once beyond that.
 SPARSE_STEP = 2_000_000
+#: Different frequencies, and different record sizes, that the null is fitted to; more are binned.
+BINS = 4096
 #: Edges of the grid of p-values, in natural logarithms.
 GRID = np.concatenate([[-700.0, -500.0, -400.0], np.arange(-300, -50, 5.0), np.arange(-50, 0.001, 0.05)])
 
@@ -112,6 +114,21 @@ def pair_counts(records: DataFrame, items: DataFrame, id_col: str = "id", keys_c
     return records.select(keys_col).mapInArrow(split, schema).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def binned(values: np.ndarray, counts: np.ndarray, most: int = BINS) -> tuple[np.ndarray, np.ndarray]:
+    """Values and counts as they are, up to `most` of them; else the means and counts of bins of equal ratio, at most `most`.
+
+    A bin is narrower than a relative (largest / smallest) ** (1 / most): under 0.6 % for 4,096 bins of frequencies up to 10**10.
+    """
+    values, counts = values.astype(float), counts.astype(float)
+    if len(values) <= most:
+        return values, counts
+    low, high = np.log(values.min()), np.log(values.max())
+    at = np.minimum(((np.log(values) - low) / (high - low) * most).astype(int), most - 1)
+    n = np.bincount(at, counts, most)
+    mean = np.bincount(at, values * counts, most)
+    return mean[n > 0] / n[n > 0], n[n > 0]
+
+
 def fit_null(freq: np.ndarray, n_items: np.ndarray, size: np.ndarray, n_baskets: np.ndarray, rounds: int = 2000, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
     """Fitness (x of each frequency, y of each size) of the bipartite configuration model.
 
@@ -209,27 +226,28 @@ def associations(records: DataFrame, id_col: str = "id", keys_col: str = "ids",
     first = counts.where("key IS NULL").select("n").first()
     total = first["n"] if first else 0
     pairs = materialize(pair_counts(sets, items), "pairs")
-    freq = items.groupBy("n").count().collect()  # distinct frequencies: under the square root of twice all entries
+    freq = items.groupBy("n").count().collect()  # different frequencies: under the square root of twice all entries
     size = sets.where(F.size("ids") > 0).groupBy(F.size("ids").alias("s")).count().collect()
     fs, fm = np.array([r["n"] for r in freq], float), np.array([r["count"] for r in freq], float)
     ss, sm = np.array([r["s"] for r in size], float), np.array([r["count"] for r in size], float)
-    x, y = fit_null(fs, fm, ss, sm) if total else (np.zeros(0), np.zeros(0))
-    fit = {int(k): float(v) for k, v in zip(fs, x, strict=True)}
     n_items = int(fm.sum())
+    fs, fm = binned(fs, fm)
+    ss, sm = binned(ss, sm)
+    x, y = fit_null(fs, fm, ss, sm) if total else (np.zeros(0), np.zeros(0))
+    order = np.argsort(fs)
+    known = (np.log(fs[order]), np.log(np.maximum(x[order], 1e-300)))
     tests = n_items * (n_items - 1) / 2
 
     joined = join_checked(pairs, items.select(F.col("key").alias("a"), F.col("n").alias("n_a")), ["a"])
     joined = join_checked(joined, items.select(F.col("key").alias("b"), F.col("n").alias("n_b")), ["b"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = np.array(sorted(fit))
-        vals = np.array([fit[k] for k in keys])
         for batch in batches:
             a, b, n, na, nb = (np.asarray(batch.column(k)) for k in range(5))
             exp, logp = np.empty(len(n)), np.empty(len(n))
             for k in range(0, len(n), 20_000):
                 s = slice(k, k + 20_000)
-                xa, xb = vals[np.searchsorted(keys, na[s])], vals[np.searchsorted(keys, nb[s])]
+                xa, xb = (np.exp(np.interp(np.log(f[s]), *known)) for f in (na, nb))  # exact where frequencies aren't binned
                 pa_, pb = np.outer(xa, y), np.outer(xb, y)
                 q = (pa_ / (1 + pa_)) * (pb / (1 + pb))
                 exp[s] = (q * sm).sum(axis=1)

@@ -88,3 +88,17 @@ def test_empty_and_single(spark):
     df = spark.createDataFrame([(1, None), (2, []), (3, [5])], "id bigint, ids array<int>")
     assert co.associations(df).collect() == []
     assert co.associations(df.limit(0)).collect() == []
+
+
+def test_binned_frequencies_change_expectations_little():
+    rng = np.random.default_rng(0)
+    freq = np.unique((np.exp(rng.uniform(0, 9, 3000))).astype(int))
+    items = np.ones(len(freq))
+    f, m = co.binned(freq, items, 400)
+    assert len(f) <= 400 and m.sum() == len(freq) and abs((f * m).sum() / freq.sum() - 1) < 1e-12
+    size, baskets = np.array([5.0, 20, 40]), np.array([1.0, 1, 1]) * freq.sum() / 65
+    whole, _ = co.fit_null(freq, items, size, baskets)
+    x, _ = co.fit_null(f, m, size, baskets)
+    near = np.exp(np.interp(np.log(freq), np.log(f), np.log(x)))
+    assert np.abs(near / whole - 1).max() < 0.02
+    assert (co.binned(freq, items, 10_000)[0] == freq).all()
