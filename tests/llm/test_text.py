@@ -106,6 +106,21 @@ def test_neighbours_share_containers(spark):
     assert len(set(k[::2])) == 1 and len(set(k[1::2])) == 1 and k[0] != k[1]
 
 
+def test_packed_documents_are_neighbours_on_the_curve(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, int(n), int(k)) for i, (n, k) in enumerate(zip(np.exp(rng.normal(4.5, 1, 6000)).astype(int) + 1, rng.integers(0, 1 << 48, 6000), strict=True))]
+    items = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint, key bigint")
+    place = {i: p for p, (i, _, _) in enumerate(sorted(rows, key=lambda r: (r[2], r[0])))}
+    packed = packing.pack(items).collect()
+    held = {}
+    for r in packed:
+        held.setdefault(r["container_id"], []).append(place[r["doc_id"]])
+    span = np.array([max(p) - min(p) for p in held.values()])
+    assert np.median(span) <= packing.WINDOW and np.percentile(span, 90) <= 4 * packing.WINDOW  # of 6,000
+    used = sum(r["n_tokens"] for r in packed) / (packing.CAPACITY * len(held))
+    assert used > 0.995
+
+
 def test_empty_tables(spark):
     none = docs(spark).limit(0)
     assert tokens.encode_corpus(none).collect() == []
