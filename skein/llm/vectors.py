@@ -18,6 +18,7 @@ aggregate, so copies never meet in a bucket at all.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,10 @@ GAP = 0.25
 BLOCK = 1024
 #: Tolerance of single-precision products before the exact test.
 SLACK = 1e-5
+#: Longest vectors (padded) whose rotations are applied as matrices: up to there one product beats the butterflies.
+DENSE = 256
+#: Buckets that the driver places one by one; with more, it only knows the oversized ones.
+PLACED = 100_000
 SEED = 7
 
 
@@ -49,7 +54,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
         y = x.reshape(*x.shape[:-1], n // (2 * h), 2, h)
         x = np.stack([y[..., 0, :] + y[..., 1, :], y[..., 0, :] - y[..., 1, :]], axis=-2).reshape(x.shape)
         h *= 2
-    return x / np.sqrt(n)
+    return x / x.dtype.type(np.sqrt(n))
 
 
 class Hash:
@@ -60,23 +65,31 @@ class Hash:
         self.levels = max(0, int(np.ceil(np.log2(max(1, 2 * rows / (2 * self.padded) / TARGET)))))
         self.tables = tables or TABLES + self.levels
         rng = np.random.default_rng(SEED)
-        # Pseudo-rotations as matrices: at these dimensions one product beats the butterfly.
-        self.turns = np.stack([self._turn(rng)[:dim] for _ in range(self.tables)]).astype(np.float32)
-        self.fine = np.stack([self._turn(rng)[:dim, : self.levels] for _ in range(self.tables)]).astype(np.float32)
+        draw = lambda: np.stack([rng.choice([-1.0, 1.0], self.padded) for _ in range(3)]).astype(np.float32)
+        self.signs = [draw() for _ in range(2 * self.tables)]  # of the axes, then of the refining coordinates
+        self.matrices = None
+        if self.padded <= DENSE:
+            columns = [self.padded] * self.tables + [self.levels] * self.tables
+            self.matrices = [self._turned(np.eye(self.padded), k)[:dim, :n].astype(np.float32) for k, n in enumerate(columns)]
         self.buckets = 2 * self.padded << self.levels
 
-    def _turn(self, rng: np.random.Generator) -> np.ndarray:
-        m = np.eye(self.padded)
-        for _ in range(3):
-            m = hadamard(m * rng.choice([-1.0, 1.0], self.padded))
-        return m
+    def _turned(self, x: np.ndarray, k: int) -> np.ndarray:
+        """H D3 H D2 H D1 x of padded vectors."""
+        for signs in self.signs[k]:
+            x = hadamard(x * signs)
+        return x
+
+    def turn(self, unit: np.ndarray, k: int) -> np.ndarray:
+        if self.matrices is not None:
+            return unit @ self.matrices[k]
+        return self._turned(np.pad(unit, ((0, 0), (0, self.padded - self.dim))), k)
 
     def probes(self, unit: np.ndarray) -> np.ndarray:
         """(rows, 2 * tables) numbers of the best and second-best bucket of each table, -1 for one not probed."""
         out = np.empty((len(unit), 2 * self.tables), np.int64)
         r = np.arange(len(unit))
         for t in range(self.tables):
-            y = unit @ self.turns[t]
+            y = self.turn(unit, t)
             a = np.abs(y)
             first = a.argmax(axis=1)
             top = a[r, first]
@@ -84,7 +97,7 @@ class Hash:
             second = a.argmax(axis=1)
             near = top - a[r, second] < GAP / np.sqrt(self.padded)
             sub = np.zeros(len(unit), np.int64)
-            fine = unit @ self.fine[t]
+            fine = self.turn(unit, self.tables + t)[:, : self.levels] if self.levels else np.zeros((len(unit), 0))
             for k in range(self.levels):
                 sub = sub * 2 + (fine[:, k] < 0)
             for c, axis in enumerate((first, second)):
@@ -98,6 +111,12 @@ class Hash:
         return out
 
 
+def _tally(keys: np.ndarray, counts: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    u, n = np.unique(np.concatenate(more), return_counts=True)
+    k, at = np.unique(np.concatenate([keys, u]), return_inverse=True)
+    return k, np.bincount(at, np.concatenate([counts, n]), len(k)).astype(np.int64)
+
+
 def usable(ids: pa.Array, vecs: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and float32 vectors of the rows with an id and dim finite elements that aren't all zero."""
     if isinstance(vecs, pa.ChunkedArray):
@@ -140,8 +159,7 @@ class Collection:
         self.rows = df.count()  # from the files' footers
         self.hash = Hash(dim, self.rows, tables)
         survey = materialize(self._survey(), "survey")
-        loads = survey.where("kind = 1").select("h1", "n").collect()  # one row per bucket
-        self.loads = {r["h1"]: r["n"] for r in loads}
+        self.buckets = survey.where("kind = 1").select(F.col("h1").alias("bucket"), "n")
         self.copies = survey.where("kind = 0").select("h1", "h2", F.col("low").alias("rep"))
         self.has_copies = self.copies.limit(1).count() > 0
 
@@ -151,16 +169,29 @@ class Collection:
 
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = ["kind", "h1", "h2", "id", "n"]
-            load = np.zeros(h.tables * h.buckets, np.int64)
+
+            def loads(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+                none = pa.array(np.zeros(len(keys), np.int64))
+                return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int8)), pa.array(keys), none, none, pa.array(counts)], names=names)
+
+            keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            held: list[np.ndarray] = []
             for b in batches:
                 ids, x = usable(b.column(0), b.column(1), dim)
                 if len(ids):
                     h1, h2 = fingerprint(x)
                     p = h.probes(unit(x)).ravel()
-                    load += np.bincount(p[p >= 0], minlength=len(load))
+                    held.append(p[p >= 0])
+                    if len(held) >= 16:
+                        keys, counts = _tally(keys, counts, held)
+                        held = []
                     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int8)), pa.array(h1), pa.array(h2), pa.array(ids), pa.array(np.ones(len(ids), np.int64))], names=names)
-            at = np.flatnonzero(load)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(np.zeros(len(at), np.int64)), pa.array(np.zeros(len(at), np.int64)), pa.array(load[at])], names=names)
+                if len(keys) > 10 * PLACED:  # let the shuffle add them up
+                    yield loads(keys, counts)
+                    keys, counts = keys[:0], counts[:0]
+            if held:
+                keys, counts = _tally(keys, counts, held)
+            yield loads(keys, counts)
 
         rows = self.vectors.mapInArrow(f, "kind tinyint, h1 bigint, h2 bigint, id bigint, n bigint")
         per = rows.groupBy("kind", "h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum("n").alias("n"))
@@ -180,26 +211,36 @@ class Collection:
         side = F.broadcast(self.copies) if small_or_none(self.copies) else self.copies
         return prints.join(side, ["h1", "h2"]).select("id", "rep").distinct()
 
-    def cells(self) -> tuple[dict[int, int], dict[int, list[tuple[int, int]]], int]:
-        """Groups of each oversized bucket, (cell, partition) lists of each bucket, and the number of partitions."""
-        groups = {b: -(-n // TARGET) for b, n in self.loads.items() if n > 2 * TARGET}
-        work, sent = [], 0
-        for b, n in self.loads.items():
-            g = groups.get(b, 1)
-            for c in range(g * (g + 1) // 2):
-                work.append(((n / g) ** 2 + 2000 * n / g, b, c))
-            sent += n * g
-        bytes_ = sent * (4 * self.dim + 8)
-        parts = max(1, min(len(work), max(width(self.vectors.sparkSession), bytes_ // (48 << 20))))
-        import heapq
+    def cells(self) -> tuple[dict[int, int], dict[int, list[int]] | None, int]:
+        """Groups of each oversized bucket, the partition of each cell of each bucket, and the number of partitions.
 
+        Up to PLACED buckets their cells are dealt out, the costliest first; with more, the placement is
+        None and cells go where a hash sends them (place()), so what the driver and the tasks hold doesn't grow with the rows.
+        """
+        few = small_or_none(self.buckets, PLACED)
+        rows = (self.buckets if few else self.buckets.where(F.col("n") > 2 * TARGET)).collect()  # at most PLACED, or the oversized ones
+        groups = {r["bucket"]: -(-r["n"] // TARGET) for r in rows if r["n"] > 2 * TARGET}
+        sent = sum(r["n"] * groups.get(r["bucket"], 1) for r in rows)
+        count = sum(g * (g + 1) // 2 for g in groups.values()) + len(rows) - len(groups)
+        if not few:
+            rest = self.buckets.where(F.col("n") <= 2 * TARGET).agg(F.sum("n").alias("n"), F.count("*").alias("m")).first()
+            sent, count = sent + (rest["n"] or 0), count + rest["m"]
+        bytes_ = sent * (4 * self.dim + 8)
+        parts = max(1, min(count, max(width(self.vectors.sparkSession), bytes_ // (48 << 20))))
+        if not few:
+            return groups, None, parts
+        work = []
+        for r in rows:
+            g = groups.get(r["bucket"], 1)
+            cost = (r["n"] / g) ** 2 + 2000 * r["n"] / g
+            work += [(cost, r["bucket"], c) for c in range(g * (g + 1) // 2)]
         heap = [(0.0, p) for p in range(parts)]
-        where: dict[int, list] = {}
+        where: dict[int, dict[int, int]] = {}
         for cost, b, c in sorted(work, reverse=True):
             load, p = heapq.heappop(heap)
-            where.setdefault(b, []).append((c, p))
+            where.setdefault(b, {})[c] = p
             heapq.heappush(heap, (load + cost, p))
-        return groups, {b: sorted(x) for b, x in where.items()}, parts
+        return groups, {b: [x[c] for c in range(len(x))] for b, x in where.items()}, parts
 
     def _sources(self) -> tuple[DataFrame, tuple | None]:
         """Vectors without other copies than the first, or the means to leave these out on the way."""
@@ -222,7 +263,13 @@ class Collection:
         h, dim = self.hash, self.dim
         source, known = self._sources()
         groups, where, parts = self.cells()
-        send = self.vectors.sparkSession.sparkContext.broadcast((groups, where, known))  # a few entries per bucket, and the checked classes
+        send = self.vectors.sparkSession.sparkContext.broadcast((groups, where, known))  # the checked buckets and classes
+
+        def place(where: dict[int, list[int]] | None, bucket: int, cell: int) -> int:
+            if where is not None:
+                return where[bucket][cell]
+            mixed = (bucket * 0x9E3779B97F4A7C15 + cell * 0xBF58476D1CE4E5B9) & ((1 << 64) - 1)
+            return (mixed >> 20) % parts
 
         def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             groups, where, known = send.value
@@ -246,9 +293,8 @@ class Collection:
                 out: list[tuple] = []
                 for bucket, rows in zip(buckets.tolist(), np.split(row[order], at[1:]), strict=True):
                     g = groups.get(bucket, 1)
-                    cells = where[bucket]
                     if g == 1:
-                        out.append((cells[0][1], bucket, 0, 0, ids[rows].tobytes(), x[rows].tobytes()))
+                        out.append((place(where, bucket, 0), bucket, 0, 0, ids[rows].tobytes(), x[rows].tobytes()))
                         continue
                     mine = (ids[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % g
                     for own in np.unique(mine):
@@ -257,7 +303,7 @@ class Collection:
                         for other in range(g):
                             i, j = min(own, other), max(own, other)
                             c = j * (j + 1) // 2 + i
-                            out.append((cells[c][1], bucket, int(c), int(own == j), *data))
+                            out.append((place(where, bucket, int(c)), bucket, int(c), int(own == j), *data))
                 cols = list(zip(*out, strict=True))
                 kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["part", "bucket", "cell", "side", "ids", "vecs"])

@@ -266,6 +266,27 @@ def test_hadamard_and_hash():
     assert p.shape == (50, 2 * h.tables) and p.max() < h.tables * h.buckets and (p[:, 0] != p[:, 1]).all() and (p[:, ::2] >= 0).all()
 
 
+def test_butterflies_equal_matrices(monkeypatch):
+    x = vectors.unit(np.random.default_rng(3).normal(size=(200, 48)).astype(np.float32))
+    dense = vectors.Hash(48, 5_000_000)
+    monkeypatch.setattr(vectors, "DENSE", 16)
+    fast = vectors.Hash(48, 5_000_000)
+    assert dense.matrices is not None and fast.matrices is None and dense.levels > 0
+    same = dense.probes(x) == fast.probes(x)
+    assert same.mean() > 0.999  # rounding may turn a near tie
+
+
+def test_placement_by_hash_changes_no_result(spark, monkeypatch):
+    df = table(spark, sample(3))
+    key = lambda d: sorted(tuple(r) for r in d.collect())
+    want = key(vectors.nearest(df, "id", "vec", DIM, 5, 0.5))
+    monkeypatch.setattr(vectors, "PLACED", 3)
+    assert key(vectors.nearest(df, "id", "vec", DIM, 5, 0.5)) == want
+    monkeypatch.setattr(vectors, "TARGET", 20)  # oversized buckets are cut
+    monkeypatch.setattr(vectors.Hash, "__init__", (lambda init: lambda self, dim, rows, tables=None: init(self, dim, 10, tables or 3))(vectors.Hash.__init__))
+    assert key(vectors.nearest(df, "id", "vec", DIM, 5, 0.5)) == want
+
+
 @pytest.mark.parametrize("cosine", [0.85, 0.92])
 def test_recall_does_not_fall_with_the_number_of_rows(cosine):
     rng = np.random.default_rng(1)
