@@ -34,6 +34,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 WORDS, WORD_BYTES = 200_000, 256
 #: Bytes between two looks for a settled boundary.
 SETTLE = 512
+#: Characters up to which a text's words are split all at once, and characters of a word that enter the transducer at once.
+WHOLE, CHUNK = 65_536, 4_096
 
 
 class Vocabulary:
@@ -74,6 +76,8 @@ class Vocabulary:
     def word(self, text: str) -> tuple[int, ...]:
         ids = self.words.get(text)
         if ids is None:
+            if len(text) > CHUNK:
+                return tuple(self.stream(text[i : i + CHUNK].encode("utf-8", "surrogatepass") for i in range(0, len(text), CHUNK)))
             data = text.encode("utf-8", "surrogatepass")
             one = self.ranks.get(data)
             ids = (one,) if one is not None else tuple(self.stream([data]))
@@ -138,7 +142,7 @@ class Vocabulary:
         out: list[int] = []
         if text:
             words, word = self.words, self.word
-            for m in self.pattern.findall(text):
+            for m in self.pattern.findall(text) if len(text) <= WHOLE else (m.group() for m in self.pattern.finditer(text)):
                 out.extend(words.get(m) or word(m))
         return out
 

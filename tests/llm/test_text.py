@@ -106,6 +106,17 @@ def test_neighbours_share_containers(spark):
     assert len(set(k[::2])) == 1 and len(set(k[1::2])) == 1 and k[0] != k[1]
 
 
+def test_long_texts_and_words_in_chunks(monkeypatch):
+    v = tokens.vocabulary()
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abcdeé日👍"), 3000)), " ".join(GOOD.values()) * 5, "x" * 7000, "日本語" * 900]
+    want = [v.encode(t) for t in texts]
+    monkeypatch.setattr(tokens, "WHOLE", 50)
+    monkeypatch.setattr(tokens, "CHUNK", 7)
+    v.words.clear()
+    assert [v.encode(t) for t in texts] == want and ["".join(v.decode(w)) for w in want] == texts
+
+
 def test_packed_documents_are_neighbours_on_the_curve(spark):
     rng = np.random.default_rng(6)
     rows = [(i, int(n), int(k)) for i, (n, k) in enumerate(zip(np.exp(rng.normal(4.5, 1, 6000)).astype(int) + 1, rng.integers(0, 1 << 48, 6000), strict=True))]
