@@ -96,7 +96,7 @@ class Cache:
         return gone
 
 
-def trace(scheduled: DataFrame, costs: DataFrame, capacity: int, policy: str, prefetch: str = "none", keys: list[str] | None = None, window_col: str = "window_id", top: int = 10) -> DataFrame:
+def trace(scheduled: DataFrame, costs: DataFrame, capacity: int, policy: str, prefetch: str = "none", keys: list[str] | None = None, window_col: str = "window_id", top: int = 10, pipelined: bool = False) -> DataFrame:
     """The cache's trace: rows keys + (window, position, qid, hits, misses, evicted, prefetched, n_miss, hit_ratio, load_mb).
 
     scheduled: keys + (window, position, qid, group_id, cluster_ids); every combination of
@@ -104,7 +104,9 @@ def trace(scheduled: DataFrame, costs: DataFrame, capacity: int, policy: str, pr
     fixed list of blocks. prefetch "first" loads, after a group's last query, the set of the
     next group's first query (of the same window); "balance" the blocks that the next group
     uses most (ties: met first), as many as fit beside what is cached, or all if nothing fits. What is
-    cached isn't fetched again, and prefetched blocks are there before the next query.
+    cached isn't fetched again, and prefetched blocks are there before the next query. `pipelined` counts as a background
+    prefetcher does: what was once submitted is never submitted again, even if it has left, a query first looks up the
+    submitted ones of its blocks, and "balance" looks up every block it counts; these look-ups are uses like others.
     Null or empty sets have no hits and a null hit_ratio.
     """
     keys = keys or []
@@ -127,6 +129,10 @@ def trace(scheduled: DataFrame, costs: DataFrame, capacity: int, policy: str, pr
         group: list[tuple] = []  # the group being read
         waiting: tuple | None = None  # the last row of the group before, until what it prefetches is known
         out: list[tuple] = []
+        submitted: set[int] = set()
+
+        def there(c: int) -> bool:
+            return cache.get(c) if pipelined and prefetch == "balance" else c in cache.count
 
         def run(rows: list[tuple], follows: bool) -> None:
             """Run a whole group; `follows`: it comes after `waiting` in the same window."""
@@ -135,21 +141,25 @@ def trace(scheduled: DataFrame, costs: DataFrame, capacity: int, policy: str, pr
                 fetched, gone = [], []
                 if follows and prefetch != "none":
                     if prefetch == "first":
-                        fetched = [c for c in rows[0][-1] or [] if c not in cache.count]
+                        fetched = [c for c in rows[0][-1] or [] if not there(c) and c not in submitted]
                     else:
                         freq: dict[int, int] = {}
                         for r in rows:
                             for c in r[-1] or []:
-                                if c not in cache.count:
+                                if not there(c) and c not in submitted:
                                     freq[c] = freq.get(c, 0) + 1
                         order = sorted(freq, key=lambda c: -freq[c])
                         free = cache.capacity - len(cache.count)
                         fetched = order[:free] if free > 0 else order
                     gone = cache.load(fetched)
+                    if pipelined:
+                        submitted.update(fetched)
                 head, hits, misses, left = waiting
                 done(head, hits, misses, left + gone, fetched)
                 waiting = None
             for i, r in enumerate(rows):
+                for c in submitted.intersection(r[-1] or []):
+                    cache.get(c)
                 hits, misses, left = cache.query(list(r[-1] or []))
                 if i == len(rows) - 1:
                     waiting = (r[:-2], hits, misses, left)
@@ -181,6 +191,7 @@ def trace(scheduled: DataFrame, costs: DataFrame, capacity: int, policy: str, pr
                     close()
                     key, window, fresh = k, w, True
                     cache = Cache(capacity, policy, latency, size, top)
+                    submitted.clear()
                 elif w != window:
                     close()
                     window, fresh = w, True

@@ -206,24 +206,20 @@ def chunks(windowed: DataFrame, workers: int = 8, window_col: str = "window_id")
     return windowed.select(window_col, "qid", "seq", F.floor((F.row_number().over(rank) - 1) / size).cast("int").alias("chunk"))
 
 
-def kmeans_groups(vectors: DataFrame, k: int, dim: int, rounds: int = 5, id_col: str = "qid", vec_col: str = "qvec") -> DataFrame:
-    """Rows (id_col, group_id) of k-means over vectors: the incremental grouping as full-batch rounds.
+class Centres:
+    """Centres of k-means that are kept between batches: one scan of a batch adds up k sums per split, only k x dim numbers reach the driver."""
 
-    The first centres are the k vectors of smallest hashed id. A round is one scan that adds up
-    k sums per split; only k x dim numbers reach the driver. Empty groups keep their centre.
-    """
-    from skein.functions.vectors import matrix, pairwise_l2
+    def __init__(self, first: np.ndarray) -> None:
+        self.at = first
+        self.seen = np.zeros(len(first), np.int64)
 
-    spark = vectors.sparkSession
-    start = vectors.orderBy(F.xxhash64(id_col), id_col).select(vec_col).limit(k).toArrow().combine_chunks()
-    kind = dict(vectors.dtypes)[id_col]
-    if not start.num_rows:
-        return spark.createDataFrame([], f"`{id_col}` {kind}, group_id int")
-    centre = matrix(start.column(0).chunk(0), dim)
-    for _ in range(rounds):
-        send = spark.sparkContext.broadcast(centre)
+    def sums(self, vectors: DataFrame, vec_col: str) -> tuple[np.ndarray, np.ndarray]:
+        """Number and sum of the vectors nearest to each centre (ties to the first)."""
+        from skein.functions.vectors import matrix, pairwise_l2
 
-        def add(batches, send=send):
+        send = vectors.sparkSession.sparkContext.broadcast(self.at)
+
+        def add(batches):
             import pyarrow as pa
 
             c = send.value
@@ -235,21 +231,71 @@ def kmeans_groups(vectors: DataFrame, k: int, dim: int, rounds: int = 5, id_col:
                 n += np.bincount(at, minlength=len(c))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(c), dtype=np.int32)), pa.array(n), pa.array(list(t), pa.list_(pa.float64()))], names=["g", "n", "t"])
 
-        sums = vectors.select(vec_col).mapInArrow(add, "g int, n bigint, t array<double>")
-        total = sums.groupBy("g").agg(F.sum("n").alias("n"), *[F.sum(F.col("t")[i]).alias(f"t{i}") for i in range(dim)]).orderBy("g").toPandas()
-        n = total["n"].to_numpy()
-        new = centre.copy()
-        new[n > 0] = total[[f"t{i}" for i in range(dim)]].to_numpy()[n > 0] / n[n > 0][:, None]
-        if np.allclose(new, centre):
-            break
-        centre = new
-    send = spark.sparkContext.broadcast(centre)
+        dim = self.at.shape[1]
+        rows = vectors.select(vec_col).mapInArrow(add, "g int, n bigint, t array<double>")
+        total = rows.groupBy("g").agg(F.sum("n").alias("n"), *[F.sum(F.col("t")[i]).alias(f"t{i}") for i in range(dim)]).orderBy("g").toPandas()
+        return total["n"].to_numpy(), total[[f"t{i}" for i in range(dim)]].to_numpy()
+
+    def partial_fit(self, vectors: DataFrame, vec_col: str) -> None:
+        """Move each centre to the mean of all vectors that it was given so far and in this batch."""
+        n, total = self.sums(vectors, vec_col)
+        some = n > 0
+        self.at = self.at.copy()
+        self.at[some] = (self.at[some] * self.seen[some, None] + total[some]) / (self.seen[some] + n[some])[:, None]
+        self.seen = self.seen + n
+
+    def predict(self, vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+        from skein.functions.vectors import matrix, pairwise_l2
+
+        send = vectors.sparkSession.sparkContext.broadcast(self.at)
+
+        def assign(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                at = pairwise_l2(matrix(b.column(1), send.value.shape[1]), send.value).argmin(axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at)], names=[id_col, "group_id"])
 
-    def assign(batches):
-        import pyarrow as pa
+        return vectors.select(id_col, vec_col).mapInArrow(assign, f"`{id_col}` {dict(vectors.dtypes)[id_col]}, group_id int")
 
-        for b in batches:
-            at = pairwise_l2(matrix(b.column(1), dim), send.value).argmin(axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at)], names=[id_col, "group_id"])
 
-    return vectors.select(id_col, vec_col).mapInArrow(assign, f"`{id_col}` {kind}, group_id int")
+def _first(vectors: DataFrame, k: int, dim: int, id_col: str, vec_col: str) -> np.ndarray | None:
+    from skein.functions.vectors import matrix
+
+    start = vectors.orderBy(id_col).select(vec_col).limit(k).toArrow().combine_chunks()
+    return matrix(start.column(0).chunk(0), dim) if start.num_rows else None
+
+
+def minibatch_groups(vectors: DataFrame, tick_col: str, k: int, dim: int, id_col: str = "qid", vec_col: str = "qvec") -> DataFrame:
+    """Rows (id_col, group_id): tick after tick, the centres are fitted to the tick's vectors and give these their groups.
+
+    vectors is a written table. The first centres are the first tick's k vectors of smallest id; ticks are few (one scan each), null ticks come
+    first. The order within a tick has no influence.
+    """
+    kind = dict(vectors.dtypes)[id_col]
+    out, centres = vectors.sparkSession.createDataFrame([], f"`{id_col}` {kind}, group_id int"), None
+    for r in vectors.select(tick_col).distinct().orderBy(F.asc_nulls_first(tick_col)).collect():
+        batch = vectors.where(F.col(tick_col).eqNullSafe(F.lit(r[0])))
+        centres = centres or Centres(_first(batch, k, dim, id_col, vec_col))
+        centres.partial_fit(batch, vec_col)
+        out = out.unionAll(centres.predict(batch, id_col, vec_col))
+    return out
+
+
+def kmeans_groups(vectors: DataFrame, k: int, dim: int, rounds: int = 5, id_col: str = "qid", vec_col: str = "qvec") -> DataFrame:
+    """Rows (id_col, group_id) of k-means over vectors: the grouping as full-batch rounds.
+
+    The first centres are the k vectors of smallest id. Empty groups keep their centre.
+    """
+    first = _first(vectors, k, dim, id_col, vec_col)
+    if first is None:
+        return vectors.sparkSession.createDataFrame([], f"`{id_col}` {dict(vectors.dtypes)[id_col]}, group_id int")
+    centres = Centres(first)
+    for _ in range(rounds):
+        n, total = centres.sums(vectors, vec_col)
+        new = centres.at.copy()
+        new[n > 0] = total[n > 0] / n[n > 0][:, None]
+        done, centres.at = np.array_equal(new, centres.at), new
+        if done:
+            break
+    return centres.predict(vectors, id_col, vec_col)

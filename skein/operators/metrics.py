@@ -88,7 +88,12 @@ def settings(configs: DataFrame) -> DataFrame:
     return configs.select("run_id", F.lower(F.trim("script")).alias("script"), topic_of("topic").alias("topic_name"), f.alias("float_value"), F.round(1 - f, 6).alias("distance_threshold"), "nlist", "nprobe", "cache_size", text("linkage", "complete"), text("dynamic_thread", "dynamic"), text("jaccard_calculation", "vector"), F.coalesce("num_thread", F.lit(8)).alias("num_thread")).distinct()
 
 
-def ordinals(probes: DataFrame, id_col: str = "cluster_id") -> DataFrame:
-    """(cluster_id, ordinal from 0) of the distinct ids, ascending. The ids of an index are few: one task orders them."""
-    w = Window.orderBy(id_col)
-    return probes.where(F.col(id_col).isNotNull()).select(id_col).distinct().withColumn("ordinal", F.row_number().over(w) - 1)
+def ordinals(probes: DataFrame, id_col: str = "cluster_id", span: int = 100_000) -> DataFrame:
+    """(cluster_id, ordinal from 0) of the distinct ids, ascending. Ids are numbered within spans of `span` values and shifted by
+    the sizes of the spans before, so however many ids there are, no task orders them all."""
+    ids = probes.where(F.col(id_col).isNotNull()).select(id_col).distinct().withColumn("_s", F.floor(F.col(id_col) / span))
+    ids = materialize(ids, "ids")
+    before = F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))  # a row a span
+    spans = materialize(ids.groupBy("_s").agg(F.count("*").alias("_n")).select("_s", F.coalesce(before, F.lit(0)).alias("_before")), "spans")
+    w = Window.partitionBy("_s").orderBy(id_col)
+    return join_checked(ids.withColumn("_r", F.row_number().over(w) - 1), spans, ["_s"]).select(id_col, (F.col("_before") + F.col("_r")).cast("int").alias("ordinal"))

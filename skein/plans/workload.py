@@ -160,9 +160,9 @@ def _topic_schedule(spark: SparkSession, d: str, linkage: str | None) -> DataFra
     return s.select("qid", "group_id", "position").join(w.select("qid", "topic", "window_no", "cluster_ids"), "qid")
 
 
-def _trace(policy: str, linkage: str | None = None, fetch: str = "none"):
+def _trace(policy: str, linkage: str | None = None, fetch: str = "none", pipelined: bool = False):
     def f(spark: SparkSession, d: str) -> DataFrame:
-        t = cache.trace(_topic_schedule(spark, d, linkage), materialize(_costs(spark, d), "costs"), CAPACITY, policy, fetch, ["topic"], "window_no")
+        t = cache.trace(_topic_schedule(spark, d, linkage), materialize(_costs(spark, d), "costs"), CAPACITY, policy, fetch, ["topic"], "window_no", pipelined=pipelined)
         return t.withColumn("load_mb", F.round("load_mb", 4))
 
     return f
@@ -176,6 +176,7 @@ TRACES = {
     "cache_trace_grouped": _trace("cost_freq", "complete"),
     "cache_trace_prefetch_fg": _trace("cost_freq", "complete", "first"),
     "cache_trace_prefetch_balance": _trace("cost_freq", "complete", "balance"),
+    "cache_trace_pipelined": _trace("cost_freq", "complete", "balance", True),
 }
 
 

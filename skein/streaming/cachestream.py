@@ -1,7 +1,8 @@
 """The cache as a stateful stream operator: one state per key, kept between batches.
 
 A key's state is its cache's ids, counts and window counts in order; the batch's rows of
-a key are folded in order of seq. The state has one entry per cached or counted block and
+a key are folded in order of seq. A row that comes in a later batch than one of a larger seq is folded when it
+comes, as the cache of a running service would: put a watermark and a sort before, where order across batches matters. The state has one entry per cached or counted block and
 never a vector. For window_top a window ends by event time: when a row comes `window_sec`
 or more after the window's first row.
 """

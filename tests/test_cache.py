@@ -142,3 +142,18 @@ def test_window_numbers_do_not_depend_on_spans(spark, monkeypatch):
     monkeypatch.setattr(windows, "SPAN", 10)
     assert sorted(tuple(r) for r in windows.count_windows(q, 7, ["topic"]).select("qid", "window_no").collect()) == want
     assert windows.count_windows(q, 7, ["topic"]).groupBy("topic", "window_no").count().where("count > 7").count() == 0
+
+
+def test_pipelined_prefetch_submits_once(spark):
+    """Blocks 1 and 2 alternate in a cache of one: prefetched once each, then never again; look-ups count as uses."""
+    rows = [(1, p, p, p, [1 + p % 2]) for p in range(8)]
+    s = spark.createDataFrame(rows, "window_id int, position int, qid bigint, group_id bigint, cluster_ids array<int>")
+    costs = spark.createDataFrame([(1, 1.0, 1.0), (2, 1.0, 1.0)], "cluster_id int, latency_sec double, size_mb double")
+    got = {}
+    for pipelined in (False, True):
+        t = cache.trace(s, costs, 1, "lru", "first", pipelined=pipelined).orderBy("position").collect()
+        got[pipelined] = [r["prefetched"] for r in t]
+    assert got[False] == [[2], [1]] * 3 + [[2], []]
+    assert got[True] == [[2], [1]] + [[]] * 6
+    t = cache.trace(s, costs, 2, "cost_freq", "balance", pipelined=True).orderBy("position").collect()
+    assert [r["n_miss"] for r in t] == [1] + [0] * 7 and [r["prefetched"] for r in t] == [[2]] + [[]] * 7

@@ -116,3 +116,23 @@ def test_whole_windows(spark, tmp_path, monkeypatch):
     assert workload.schedule_arrival_whole(spark, str(tmp_path)).count() == 330
     freq = workload.cluster_frequency_whole(spark, str(tmp_path)).toPandas()
     assert freq["n"].sum() == sum(len(r[5]) for r in rows)
+
+
+def test_minibatch_follows_the_ticks(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 4)).round(2)
+    tick = [None if i % 10 == 0 else i % 3 for i in range(90)]
+    df = spark.createDataFrame([(i, tick[i], [float(v) for v in x[i]]) for i in range(90)], "qid bigint, tick int, qvec array<float>").repartition(3)
+    x = x.astype(np.float32).astype(float)
+    c, seen, want = None, np.zeros(3), {}
+    for t in (None, 0, 1, 2):
+        own = [i for i in range(90) if tick[i] == t]
+        c = x[own[:3]].copy() if c is None else c
+        at = np.array([((c - x[i]) ** 2).sum(1).argmin() for i in own])
+        for g in range(3):
+            for i in np.array(own)[at == g]:  # one vector at a time
+                seen[g] += 1
+                c[g] += (x[i] - c[g]) / seen[g]
+        want |= {i: int(((c - x[i]) ** 2).sum(1).argmin()) for i in own}
+    assert {r["qid"]: r["group_id"] for r in grouping.minibatch_groups(df, "tick", 3, 4).collect()} == want
+    assert grouping.minibatch_groups(df.limit(0), "tick", 3, 4).collect() == []
