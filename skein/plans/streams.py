@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skein.functions.sets import clean_ids
 from skein.operators import index
 from skein.plans import workload
+from skein.plans.tracesql import stream_sql
 from skein.runtime import shared_dir, table
 from skein.streaming import cachestream, groups, windows
 
@@ -63,4 +64,5 @@ QUERIES = {"stream_groups": stream_groups, "stream_probe_counts": stream_probe_c
 SQL = {
     "stream_probe_counts": """SELECT CAST(ts AS DATE) AS day, c AS cluster_id, count(*) AS n FROM (SELECT ts, unnest(list_distinct(cluster_ids_set)) AS c FROM all_results WHERE ts IS NOT NULL) WHERE c >= 0 GROUP BY 1, 2""",
     "stream_groups": workload.SQL["schedule_single"],
+    "stream_cache": f"WITH RECURSIVE {workload.COSTS}, {stream_sql(200, 60)}",
 }

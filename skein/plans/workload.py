@@ -221,7 +221,7 @@ ends AS (SELECT window_id, group_id, arg_min(qid, position) AS first_qid, arg_mi
 nxt AS (SELECT window_id, group_id, last_qid AS trigger_qid, lead(group_id) OVER w AS next_group_id, lead(first_set) OVER w AS targets FROM ends WINDOW w AS (PARTITION BY window_id ORDER BY group_id)),
 freq AS (SELECT window_id, group_id, cluster_id, n, row_number() OVER (PARTITION BY window_id, group_id ORDER BY n DESC, met, cluster_id) AS rank FROM
   (SELECT window_id, group_id, cluster_id, count(*) AS n, min(position) AS met FROM (SELECT window_id, group_id, position, unnest(cluster_ids) AS cluster_id FROM scheduled) GROUP BY ALL))"""
-_C = "costs AS (SELECT c.cluster_id, max(latency_sec) AS latency_sec, coalesce(max(size_mb), 0.0) AS size_mb FROM (SELECT DISTINCT cluster_id FROM centroids) c LEFT JOIN cluster_stats s ON s.cluster_id = c.cluster_id GROUP BY c.cluster_id)"
+COSTS = "costs AS (SELECT c.cluster_id, max(latency_sec) AS latency_sec, coalesce(max(size_mb), 0.0) AS size_mb FROM (SELECT DISTINCT cluster_id FROM centroids) c LEFT JOIN cluster_stats s ON s.cluster_id = c.cluster_id GROUP BY c.cluster_id)"
 
 SQL = {
     "query_windows": f"{_D} SELECT CAST(floor(epoch(ts) / 5) * 5 AS BIGINT) AS window_sec, count(*) AS n_queries FROM delivered WHERE ts IS NOT NULL GROUP BY 1",
@@ -241,10 +241,10 @@ JOIN freq ON freq.window_id = nxt.window_id AND freq.group_id = next_group_id WH
     "cluster_frequency": f"{_G} SELECT window_id, group_id, cluster_id, n, CAST(rank AS INTEGER) AS rank FROM freq",
     "window_top_clusters": f"""{_D} SELECT window_id, CAST(rank AS INTEGER) AS rank, cluster_id, n FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY n DESC, met, cluster_id) AS rank FROM
 (SELECT window_id, cluster_id, count(*) AS n, min(seq) AS met FROM (SELECT window_id, seq, unnest(cluster_ids) AS cluster_id FROM delivered) GROUP BY 1, 2)) WHERE rank <= 10""",
-    "placement_order": f"""{_D}, {_C} SELECT qid, cluster_id, size_mb, CAST(load_rank AS INTEGER) AS load_rank, CAST((load_rank - 1) // {THREADS} AS INTEGER) AS batch FROM
+    "placement_order": f"""{_D}, {COSTS} SELECT qid, cluster_id, size_mb, CAST(load_rank AS INTEGER) AS load_rank, CAST((load_rank - 1) // {THREADS} AS INTEGER) AS batch FROM
 (SELECT qid, e.cluster_id, coalesce(size_mb, 0.0) AS size_mb, row_number() OVER (PARTITION BY qid ORDER BY coalesce(size_mb, 0.0) DESC, e.cluster_id) AS load_rank
  FROM (SELECT qid, unnest(cluster_ids) AS cluster_id FROM delivered) e LEFT JOIN costs ON costs.cluster_id = e.cluster_id)""",
-    "adaptive_threads": f"""{_D}, {_C} SELECT qid, CAST(n_blocks AS INTEGER) AS n_blocks, CAST(greatest(1, least(n_blocks, 8, least(n_blocks, ask), 2048)) AS INTEGER) AS threads FROM
+    "adaptive_threads": f"""{_D}, {COSTS} SELECT qid, CAST(n_blocks AS INTEGER) AS n_blocks, CAST(greatest(1, least(n_blocks, 8, least(n_blocks, ask), 2048)) AS INTEGER) AS threads FROM
 (SELECT qid, count(*) AS n_blocks, CASE WHEN avg(latency_sec) > 0 THEN floor(sum(latency_sec) / (avg(latency_sec) * 2.0)) + 1 ELSE 1 END AS ask
  FROM (SELECT qid, unnest(cluster_ids) AS cluster_id FROM delivered) e LEFT JOIN (SELECT * FROM costs WHERE isfinite(latency_sec)) c ON c.cluster_id = e.cluster_id GROUP BY qid)""",
 }
@@ -255,7 +255,7 @@ SQL |= {f"group_{n}_linkage": f"{_W}, {linkage_sql('windowed', 'window_id', LEAS
 
 
 def _trace_sql(policy: str, linkage: str | None = None, fetch: str = "none") -> str:
-    return f"{_D}, {_C}, {schedule_sql(CAP, LEAST, linkage, fetch)}, {trace_sql(CAPACITY, policy, fetch)}"
+    return f"{_D}, {COSTS}, {schedule_sql(CAP, LEAST, linkage, fetch)}, {trace_sql(CAPACITY, policy, fetch)}"
 
 
 SQL |= {n: f"{_trace_sql(*a)} SELECT * FROM tr" for n, a in {
