@@ -196,7 +196,16 @@ def p9_agreement(spark: SparkSession, d: str) -> DataFrame:
     return said.join(found, "doc_id").groupBy("label", "annotator").agg(F.count("*").alias("n"), F.sum(same).alias("agree"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p1_average": p1_average, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_recall": p5_recall, "p5_checked": p5_checked, "p3_percentiles": p3_percentiles, "p3_batch_percentiles": p3_batch_percentiles, "p3_medians": p3_medians, "p3_certified": p3_certified, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_checks": p8_checks, "p9_found": p9_found, "p9_measures": p9_measures, "p9_agreement": p9_agreement}
+def p9_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Documents on which two or more annotators agree, and whether p9_found decides at least 97 in 100 of them alike."""
+    said = table(spark, d, "review_labels").where("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", "label", "annotator").distinct()
+    agreed = said.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("label").alias("label"), F.max("label").alias("other")).where("n > 1 AND label = other").select("doc_id", "label")
+    found = spampages.measures(table(spark, d, "documents")).select("doc_id", (F.col("flagged_share") > 0.5).alias("spam"))
+    same = ((F.col("label") == "not_sentences") == F.col("spam")).cast("long")
+    return agreed.join(found, "doc_id").agg(F.count("*").alias("documents"), (F.sum(same) >= 0.97 * F.count("*")).alias("alike"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p1_average": p1_average, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_recall": p5_recall, "p5_checked": p5_checked, "p3_percentiles": p3_percentiles, "p3_batch_percentiles": p3_batch_percentiles, "p3_medians": p3_medians, "p3_certified": p3_certified, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_counts": p6_counts, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_checks": p8_checks, "p9_found": p9_found, "p9_measures": p9_measures, "p9_agreement": p9_agreement, "p9_checked": p9_checked}
 
 _PAIRS = f"""
 WITH e AS ({IDS}), t AS (SELECT count(DISTINCT qid) AS n_records FROM e), f AS (SELECT c, count(*) AS n FROM e GROUP BY c),
@@ -229,6 +238,8 @@ WITH m AS (SELECT DISTINCT run_id, seq, qid, ts, batch_seq, duration FROM search
 UNION ALL SELECT run_id, CAST(ts AS DATE), 'batch_seq' FROM m WHERE batch_seq > 0),
 g AS (SELECT 'run_day' AS scope, run_id, day, metric, count(*) AS n FROM v GROUP BY ALL UNION ALL SELECT 'run', run_id, NULL, metric, count(*) FROM v GROUP BY ALL UNION ALL SELECT 'day', NULL, day, metric, count(*) FROM v GROUP BY ALL)
 SELECT scope, run_id, day, metric, n, q, true AS certified FROM g, (SELECT unnest([0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])::DOUBLE AS q)""",
+    "p9_checked": """WITH a AS (SELECT doc_id, min(label) AS l, max(label) AS m, count(*) AS n FROM (SELECT DISTINCT doc_id, label, annotator FROM review_labels WHERE doc_id IS NOT NULL AND label IS NOT NULL) GROUP BY 1)
+SELECT count(*) AS documents, true AS alike FROM a JOIN documents USING (doc_id) WHERE n > 1 AND l = m""",
     "p8_checks": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS torn, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS over_capacity FROM documents WHERE length(text) > 0",
     "p1_found": f"""
 WITH RECURSIVE {_VECTORS}, l AS MATERIALIZED (SELECT x, y FROM s WHERE sim >= {SAME}), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
