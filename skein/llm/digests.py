@@ -59,16 +59,19 @@ def compress(means: np.ndarray, weights: np.ndarray, lows: np.ndarray, highs: np
 
 
 def quantile(q: Sequence[float], means: np.ndarray, weights: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
-    """Values at the quantiles: a centroid of one value answers itself, a wider one between its ends."""
+    """Values at the quantiles: a centroid of one value answers itself, elsewhere the line through the means at the middle of their
+    weights. Where centroids overlap, as after merging, their ends tell nothing of the rank, so only the first and the last end count."""
     means, weights, lows, highs = (np.asarray(x, float) for x in (means, weights, lows, highs))
     if not len(means):
         return np.full(len(q), np.nan)
     ends = np.cumsum(weights)
     rank = np.asarray(q) * ends[-1]
     at = np.minimum(np.searchsorted(ends, rank, side="left"), len(means) - 1)
-    frac = np.clip((rank - (ends[at] - weights[at])) / weights[at], 0, 1)
-    left = np.minimum(lows[at], means[at])
-    return np.where(frac < 0.5, left + (means[at] - left) * 2 * frac, means[at] + (highs[at] - means[at]) * (2 * frac - 1))
+    point = lows == highs
+    begin, stop = np.where(point, ends - weights, ends - weights / 2), np.where(point, ends, ends - weights / 2)
+    x = np.concatenate([[0.0], np.stack([begin, stop], axis=1).ravel(), [ends[-1]]])
+    y = np.concatenate([[lows.min()], np.repeat(means, 2), [highs.max()]])
+    return np.where(point[at], lows[at], np.interp(rank, x, np.maximum.accumulate(y)))
 
 
 def digests(values: DataFrame, keys: Sequence[str], value: str, delta: int = DELTA) -> DataFrame:

@@ -78,3 +78,20 @@ def test_counts_between_answers_certify_as_the_values_do(spark, monkeypatch):
         assert max(r["rank_error"] for r in want) <= 2 * 3.15 / 2 / 40
     monkeypatch.setattr(dg, "HELD", 1)  # digests leave a split early
     assert {(r["key"], r["day"]): r["n"] for r in dg.digests(df, ["key", "day"], "value", 40).collect()} == {(r["key"], r["day"]): r["n"] for r in fine.collect()}
+
+
+def test_merged_digests_of_overlapping_groups_stay_within_the_bound():
+    """Centroids of many groups of different shapes overlap after merging; their means, not their ends, tell the rank."""
+    rng = np.random.default_rng(12)
+    parts, values = [], []
+    for r in range(40):
+        x = np.concatenate([rng.lognormal(rng.normal(-2, 1), rng.uniform(0.1, 2), 3000), rng.choice([0.05, 0.1], 200)])
+        u, n = np.unique(x, return_counts=True)
+        parts.append(dg.compress(u, n.astype(float), u, u))
+        values.append(x)
+    day = dg.compress(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+    x = np.sort(np.concatenate(values))
+    for q in np.linspace(0.01, 0.99, 99):
+        est = dg.quantile([q], *day)[0]
+        low, high = np.searchsorted(x, est, "left") / len(x), np.searchsorted(x, est, "right") / len(x)
+        assert max(low - q, q - high) <= 2 * np.pi / 2 / dg.DELTA
