@@ -37,7 +37,7 @@ def coarse_probe(queries: DataFrame, centroids: DataFrame, nprobe: int, dim: int
     null id or vector are left out; fewer than nprobe give what there is.
     """
     kept = centroids.where(F.col("cluster_id").isNotNull() & (F.size("centroid") == dim))
-    rows = kept.select(F.col("cluster_id").cast("int"), "centroid").orderBy("cluster_id").limit(CENTROIDS + 1).toArrow().combine_chunks()
+    rows = kept.select(F.col("cluster_id").cast("int"), "centroid").limit(CENTROIDS + 1).toArrow().sort_by("cluster_id").combine_chunks()
     if rows.num_rows > CENTROIDS:
         raise ValueError(f"more than {CENTROIDS} centroids: build a coarser index over them first")
     kind = dict(queries.dtypes)[id_col]

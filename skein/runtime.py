@@ -77,8 +77,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Tables that outlive scratch(): (application, key) -> (state of the source, path).
-_kept: dict[tuple[str, str], tuple[tuple, str]] = {}
+#: Tables that outlive scratch(): (application, key) -> (state of the source, the table as read).
+_kept: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
 
 
 def kept(source: DataFrame, key: str, write: Callable[[str], None]) -> DataFrame:
@@ -95,8 +95,8 @@ def kept(source: DataFrame, key: str, write: Callable[[str], None]) -> DataFrame
     if name not in _kept or _kept[name][0] != tuple(state):
         path = os.path.join(shared_dir(spark), "skein", uuid.uuid4().hex, "kept")
         write(path)
-        _kept[name] = (tuple(state), path)
-    return spark.read.parquet(_kept[name][1])
+        _kept[name] = (tuple(state), spark.read.parquet(path))  # its files are listed once
+    return _kept[name][1]
 
 
 @contextmanager
