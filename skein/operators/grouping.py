@@ -131,16 +131,51 @@ def _star(near: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> tuple
     return nodes[met], nodes[root[met]]
 
 
-def group_whole_windows(windowed: DataFrame, least: float, window_col: str = "window_id") -> DataFrame:
-    """Rows (window, qid, seq, group_id) as of group_windows() by single linkage, for windows of any size.
+def sparse_complete(a: np.ndarray, b: np.ndarray, dist: np.ndarray) -> dict[int, int]:
+    """agglomerate() by complete linkage over the pairs a < b that may merge: node -> smallest node of its group, for the ends of pairs.
+
+    A group's distance to another is known only if all their pairs may merge; other groups never do.
+    """
+    import heapq
+
+    near: dict[int, dict[int, float]] = {}
+    for x, y, d in zip(a.tolist(), b.tolist(), dist.tolist(), strict=True):
+        near.setdefault(x, {})[y] = d
+        near.setdefault(y, {})[x] = d
+    label = {x: x for x in near}
+    heap = list(zip(dist.tolist(), a.tolist(), b.tolist(), strict=True))
+    heapq.heapify(heap)
+    while heap:
+        d, i, j = heapq.heappop(heap)
+        if i not in near or near[i].get(j) != d:
+            continue
+        label[j] = i
+        gone = near.pop(j)
+        for k in gone:
+            near[k].pop(j)
+        for k in [k for k in near[i] if k not in gone]:
+            near[i].pop(k), near[k].pop(i)
+        for k, own in near[i].items():
+            if gone[k] > own:
+                near[i][k] = near[k][i] = gone[k]
+                heapq.heappush(heap, (gone[k], min(i, k), max(i, k)))
+    for x in sorted(label):  # a node is merged into a smaller one
+        label[x] = label[label[x]]
+    return label
+
+
+def group_whole_windows(windowed: DataFrame, least: float, linkage: str = "single", window_col: str = "window_id") -> DataFrame:
+    """Rows (window, qid, seq, group_id) as of group_windows() by single or complete linkage, for windows of any size.
     windowed is a written table.
 
-    Single linkage groups are the connected components of the pairs that may merge. Equal sets of a window are one
-    node; nodes are cut into blocks of BLOCK, every pair of blocks meets in a cell of its own, and a cell
-    returns a star per component, at most 2 x BLOCK rows, which are joined per window.
+    Equal sets of a window are one node; nodes are cut into blocks of BLOCK, and every pair of blocks meets in a cell of its own.
+    Single linkage groups are the connected components of the pairs that may merge: a cell returns a star per component, at most 2 x BLOCK rows,
+    which are joined per window. Complete linkage needs the pairs that may merge themselves; their merges run per window.
     """
     from skein.runtime import materialize
 
+    if linkage not in ("single", "complete"):
+        raise ValueError("linkage is single or complete")
     w = windowed.select(window_col, "qid", "seq", F.to_json(F.struct(window_col)).alias("_w"), F.array_sort(F.array_distinct(F.filter(F.coalesce("cluster_ids", F.array()), lambda x: x.isNotNull()))).alias("_set"))
     sets = w.where(F.size("_set") > 0).groupBy("_w", "_set").agg(F.min("seq").alias("low"))
     sets = sets.withColumn("node", F.row_number().over(Window.partitionBy("_w").orderBy("low", "_set")) - 1)
@@ -148,22 +183,28 @@ def group_whole_windows(windowed: DataFrame, least: float, window_col: str = "wi
     parts = sets.groupBy("_w").agg((F.floor(F.max("node") / BLOCK) + 1).cast("int").alias("parts"))
     own = F.floor(F.col("node") / BLOCK).cast("int")
     cells = sets.join(parts, "_w").withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("_w", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "node", "low", "_set")
+    cells = cells.select("_w", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "node", "_set")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        node, sims = pdf["node"].to_numpy(), _jaccard_matrix([np.asarray(x) for x in pdf["_set"]])
-        near = 1 - sims < 1 - least - 1e-12
+        node, dist = pdf["node"].to_numpy(), 1 - _jaccard_matrix([np.asarray(x) for x in pdf["_set"]])
+        near = dist < 1 - least - 1e-12
+        left = (pdf["own"] == i).to_numpy()
+        if linkage == "complete":
+            x, y = np.nonzero(np.triu(near, 1))
+            x, y = (x, y) if i == j else (x[left[x] & ~left[y]], y[left[x] & ~left[y]])
+            return pd.DataFrame({"_w": pdf["_w"].iloc[0], "node": node[x], "root": node[y], "dist": dist[x, y]})
         if i == j:
             x, root = _star(near, node, None)
         else:
-            a = (pdf["own"] == i).to_numpy()
-            x, root = _star(near[np.ix_(a, ~a)], node[a], node[~a])
-        low = dict(zip(node, pdf["low"], strict=True))
-        return pd.DataFrame({"_w": pdf["_w"].iloc[0], "node": x, "root": root, "low": [low[v] for v in x]})
+            x, root = _star(near[np.ix_(left, ~left)], node[left], node[~left])
+        return pd.DataFrame({"_w": pdf["_w"].iloc[0], "node": x, "root": root, "dist": 0.0})
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        if linkage == "complete":
+            label = sparse_complete(pdf["node"].to_numpy(), pdf["root"].to_numpy(), pdf["dist"].to_numpy())
+            return pd.DataFrame({"_w": pdf["_w"].iloc[0], "node": list(label), "root": list(label.values())})
         nodes, at = np.unique(pdf["node"].to_numpy(), return_inverse=True)
         root = np.searchsorted(nodes, pdf["root"].to_numpy())
         label = np.arange(len(nodes))
@@ -176,13 +217,12 @@ def group_whole_windows(windowed: DataFrame, least: float, window_col: str = "wi
             if (new == label).all():
                 break
             label = new
-        low = np.zeros(len(nodes), np.int64)
-        low[at] = pdf["low"].to_numpy()
-        return pd.DataFrame({"_w": pdf["_w"].iloc[0], "node": nodes, "group_id": low[label]})
+        return pd.DataFrame({"_w": pdf["_w"].iloc[0], "node": nodes, "root": nodes[label]})
 
-    links = cells.groupBy("_w", "i", "j").applyInPandas(meet, "_w string, node int, root int, low bigint")
-    groups = links.groupBy("_w").applyInPandas(join, "_w string, node int, group_id bigint")
-    named = sets.join(groups, ["_w", "node"]).select("_w", "_set", "group_id")
+    links = cells.groupBy("_w", "i", "j").applyInPandas(meet, "_w string, node int, root int, dist double")
+    roots = links.groupBy("_w").applyInPandas(join, "_w string, node int, root int")
+    groups = roots.join(sets.select("_w", F.col("node").alias("root"), F.col("low").alias("group_id")), ["_w", "root"]).select("_w", "node", "group_id")
+    named = sets.join(groups, ["_w", "node"], "left").select("_w", "_set", F.coalesce("group_id", "low").alias("group_id"))
     return w.join(named, ["_w", "_set"], "left").select(window_col, "qid", "seq", F.coalesce("group_id", "seq").alias("group_id"))
 
 

@@ -130,6 +130,11 @@ def cluster_frequency_whole(spark: SparkSession, d: str) -> DataFrame:
     return prefetch.cluster_frequency(_scheduled_whole(spark, d))
 
 
+def group_complete_linkage_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every query of every window by complete linkage, the default of the runs."""
+    return grouping.group_whole_windows(materialize(_delivered(spark, d), "delivered"), LEAST, "complete")
+
+
 def window_top_clusters(spark: SparkSession, d: str) -> DataFrame:
     return prefetch.window_top(_delivered(spark, d), 10)
 
@@ -200,7 +205,7 @@ def run_log(spark: SparkSession, d: str) -> DataFrame:
     return metrics.run_log(_trace("cost_freq", "complete", "first")(spark, d), ["topic"])
 
 
-QUERIES = {f.__name__: f for f in (run_log, query_windows, count_windows, window_cap, query_chunks, jaccard_pairs, group_single_linkage, group_complete_linkage, group_average_linkage, schedule_single, schedule_arrival, group_ends, prefetch_plan_first, prefetch_plan_balanced, cluster_frequency, schedule_arrival_whole, group_ends_whole, prefetch_plan_first_whole, prefetch_plan_balanced_whole, cluster_frequency_whole, window_top_clusters, placement_order, adaptive_threads)} | TRACES | {"cache_summary": cache_summary}
+QUERIES = {f.__name__: f for f in (run_log, query_windows, count_windows, window_cap, query_chunks, jaccard_pairs, group_single_linkage, group_complete_linkage, group_average_linkage, schedule_single, schedule_arrival, group_ends, prefetch_plan_first, prefetch_plan_balanced, cluster_frequency, schedule_arrival_whole, group_ends_whole, prefetch_plan_first_whole, prefetch_plan_balanced_whole, cluster_frequency_whole, group_complete_linkage_whole, window_top_clusters, placement_order, adaptive_threads)} | TRACES | {"cache_summary": cache_summary}
 
 _D = """WITH RECURSIVE first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY seq) AS r FROM all_results WHERE qid IS NOT NULL AND seq IS NOT NULL) WHERE r = 1),
 delivered AS (SELECT qid, window_id, seq, coalesce(lower(trim(topic)), '') AS topic, ts, coalesce(list_sort(list_distinct(list_filter(cluster_ids_set, lambda x: x >= 0))), []) AS cluster_ids FROM first)"""
@@ -254,6 +259,9 @@ SQL |= {f"{n}_whole": SQL[n].replace(f" WHERE rn <= {CAP})", ")") for n in ("sch
 SQL |= {f"group_{n}_linkage": f"{_W}, {linkage_sql('windowed', 'window_id', LEAST, n)} SELECT window_id, qid, seq, group_id FROM agg" for n in ("complete", "average")}
 
 
+SQL["group_complete_linkage_whole"] = f"{_D}, {linkage_sql('delivered', 'window_id', LEAST, 'complete')} SELECT window_id, qid, seq, group_id FROM agg"
+
+
 def _trace_sql(policy: str, linkage: str | None = None, fetch: str = "none") -> str:
     return f"{_D}, {COSTS}, {schedule_sql(CAP, LEAST, linkage, fetch)}, {trace_sql(CAPACITY, policy, fetch)}"
 

@@ -136,3 +136,38 @@ def test_minibatch_follows_the_ticks(spark):
         want |= {i: int(((c - x[i]) ** 2).sum(1).argmin()) for i in own}
     assert {r["qid"]: r["group_id"] for r in grouping.minibatch_groups(df, "tick", 3, 4).collect()} == want
     assert grouping.minibatch_groups(df.limit(0), "tick", 3, 4).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sparse_complete_linkage_equals_the_dense_one(seed):
+    rng = np.random.default_rng(seed)
+    sim = rng.integers(0, 8, (25, 25)) / 8  # many ties
+    sim = np.triu(sim, 1) + np.triu(sim, 1).T + np.eye(25)
+    a, b = np.nonzero(np.triu(1 - sim < 1 - 0.3 - 1e-12, 1))
+    got = grouping.sparse_complete(a, b, (1 - sim)[a, b])
+    assert [got.get(i, i) for i in range(25)] == grouping.agglomerate(sim.copy(), 0.3, "complete").tolist()
+
+
+def test_whole_windows_by_complete_linkage(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = []
+    for q in range(240):
+        base = [list(range(10)), list(range(8, 20)), list(range(15, 30))][q % 3]
+        keep = sorted(int(c) for c in rng.choice(base, int(rng.integers(0, len(base))), replace=False))
+        rows.append((q, None if q < 15 else 1, q * 7 % 241, keep if q % 11 else None))
+    df = grouping_table(spark, rows)
+    want = {(r["qid"], r["group_id"]) for r in grouping.group_windows(df, 0.3, "complete").collect()}
+    for block in (16, 1024):
+        monkeypatch.setattr(grouping, "BLOCK", block)
+        got = grouping.group_whole_windows(df, 0.3, "complete").collect()
+        assert {(r["qid"], r["group_id"]) for r in got} == want and len(got) == 240
+    assert 10 < len({g for _, g in want}) < 200
+    assert grouping.group_whole_windows(df.limit(0), 0.3, "complete").collect() == []
+    with pytest.raises(ValueError):
+        grouping.group_whole_windows(df, 0.3, "average")
+
+
+def grouping_table(spark, rows):
+    from skein.runtime import materialize
+
+    return materialize(spark.createDataFrame(rows, "qid bigint, window_id bigint, seq bigint, cluster_ids array<int>"), "windowed")
