@@ -32,7 +32,7 @@ from skein.llm.vectors import Collection, usable
 from skein.runtime import join_checked, materialize, small_or_none
 
 #: Links up to which one task runs the rounds.
-LOCAL = 500_000
+LOCAL = 2_000_000
 #: Rounds of "linked" over the cluster and, again, in a task, after which all that is linked is joined.
 ROUNDS = 60
 #: A mean of links at the threshold can miss it by rounding.
