@@ -32,8 +32,8 @@ DELTA = 400
 QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 #: Splits whose digests of one group are merged at once.
 FAN_IN = 64
-#: Groups that a split holds; beyond, their digests leave it.
-HELD = 20_000
+#: Values that a split sorts at once; each group's digest of these leaves it.
+HELD = 2_000_000
 DIGEST = "n bigint, means array<double>, weights array<double>, lows array<double>, highs array<double>"
 _PARTS = ("means", "weights", "lows", "highs")
 
@@ -86,39 +86,50 @@ def digests(values: DataFrame, keys: Sequence[str], value: str, delta: int = DEL
     types = dict(values.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "lane int", DIGEST])
     lanes = -(-width(values.sparkSession) // FAN_IN)
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         lane = TaskContext.get().partitionId() % lanes
-        held: dict[tuple, list] = {}
+        held: list[pa.RecordBatch] = []
         rows = 0
 
-        def one(parts: list) -> tuple[np.ndarray, ...]:
-            return compress(*(np.concatenate(c) for c in zip(*parts, strict=True)), delta)
-
-        def leave() -> pd.DataFrame:
-            out = [(*k, lane, one(parts)) for k, parts in held.items()]
+        def leave() -> pa.RecordBatch:
+            """Digests of the values held: sorted and counted for all groups at once, clustered for each."""
+            t = pa.Table.from_batches(held).combine_chunks()
             held.clear()
-            return pd.DataFrame({**{k: [o[i] for o in out] for i, k in enumerate(keys)}, "lane": [o[-2] for o in out], "n": [int(o[-1][1].sum()) for o in out], **{p: [o[-1][j] for o in out] for j, p in enumerate(_PARTS)}})
+            code = np.zeros(t.num_rows, np.int64)
+            for k in keys:
+                d = t.column(k).chunk(0).dictionary_encode(null_encoding="encode")
+                code = np.unique(code * len(d.dictionary) + np.asarray(d.indices), return_inverse=True)[1]
+            _, first = np.unique(code, return_index=True)
+            x = np.asarray(t.column(value).chunk(0))
+            order = np.lexsort((x, code))
+            c, v = code[order], x[order]
+            at = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (v[1:] != v[:-1])]))
+            w = np.diff(np.append(at, len(v)))
+            c, v = c[at], v[at]
+            ends = np.append(np.flatnonzero(c[1:] != c[:-1]) + 1, len(c))
+            starts = np.concatenate([[0], ends[:-1]])
+            digest = [(p, q, p, p) if len(p) <= delta else compress(p, q, p, p, delta) for p, q in ((v[i:j], w[i:j].astype(float)) for i, j in zip(starts, ends, strict=True))]
+            offs = pa.array(np.concatenate([[0], np.cumsum([len(d[0]) for d in digest])]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offs, pa.array(np.concatenate([d[i] for d in digest]), pa.float64())) for i in range(len(_PARTS))]
+            cols = [t.column(k).chunk(0).take(pa.array(first)) for k in keys]
+            return pa.RecordBatch.from_arrays([*(col.cast(f.type) for col, f in zip(cols, arrow, strict=False)), pa.array(np.full(len(ends), lane, np.int32)), pa.array(np.add.reduceat(w, starts).astype(np.int64)), *lists], schema=arrow)
 
-        for pdf in batches:
-            for key, v in pdf.groupby(keys, dropna=False, sort=False)[value] if keys else [((), pdf[value])]:
-                x = v.to_numpy(dtype=float)
-                u, n = np.unique(x, return_counts=True)
-                held.setdefault(tuple(None if pd.isna(k) else k for k in key), []).append((u, n.astype(float), u, u))
-            rows += len(pdf)
-            if len(held) > HELD:
-                yield leave()
-            elif rows > 500_000:
-                for k, parts in held.items():
-                    held[k] = [one(parts)]
-                rows = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+                if rows >= HELD:
+                    yield leave()
+                    rows = 0
         if held:
             yield leave()
 
     clean = values.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-    parts = clean.mapInPandas(split, schema)
+    parts = clean.mapInArrow(split, schema)
     return merge(parts if lanes > 1 else parts.drop("lane"), keys, delta)
 
 
