@@ -40,15 +40,18 @@ class Cache:
         self.count: OrderedDict[int, int] = OrderedDict()  # by recency, or by entry for fifo
         self.window: dict[int, int] = {}
 
-    def _weight(self, c: int) -> float:
-        w = self.latency.get(c, float("inf")) * self.count[c]
-        return w * (1 + self.window.get(c, 0)) if self.policy == "window_top" else w
-
     def _leave(self, n: int) -> list[int]:
         n = min(max(0, n), len(self.count))
+        if not n:
+            return []
         order = list(self.count)
         if self.policy in ("cost_freq", "window_top"):
-            order.sort(key=self._weight)  # stable: the least recent of equals first
+            latency, inf = self.latency.get, float("inf")
+            weight = [latency(c, inf) * k for c, k in self.count.items()]
+            if self.policy == "window_top":
+                used = self.window.get
+                weight = [w * (1 + used(c, 0)) for w, c in zip(weight, order, strict=True)]
+            order = [order[i] for i in sorted(range(len(order)), key=weight.__getitem__)]  # stable: the least recent of equals first
         for c in order[:n]:
             del self.count[c]
         return order[:n]
